@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +58,22 @@ def fresh_name(taken: Iterable[str], base: str) -> str:
     while base.lower() in lowered:
         base += "_"
     return base
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a Spark application, for plans with Python in them."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="lattica-ship-")  # the driver's; Spark serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/lattica-{context.applicationId}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, str(source.relative_to(package.parent)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
