@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.runtime import ship
+
 KEY = b"lattica demonstration key: pass your own"
 ROUNDS = 10
 
@@ -286,6 +288,7 @@ def _replacer(key: bytes) -> Callable:
 
 def replaced(text: Column, key: bytes = KEY) -> Column:
     """Struct ``(text, found)`` of a text column; a null text stays null with 0 found."""
+    ship(SparkSession.active())
     return _replacer(key)(text)
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from lattica.llm import pii, sharding
+from lattica.llm import decontam, packing, pii, quality, sharding
 
 QUERIES = {
+    "op2_packing": packing.query,
+    "op4_quality": quality.query,
+    "op5_decontamination": decontam.query,
     "op7_sharding": sharding.query,
     "op10_pii": pii.query,
 }
 ORACLE_SQL = {
+    "op5_decontamination": decontam.ORACLE_SQL,
     "op7_sharding": sharding.ORACLE_SQL,
 }

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.runtime import ship
+
 SHARDS = 4096
 
 
@@ -36,6 +38,8 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = SHARDS) -> D
     their shard; an empty table gives no rows; other columns, whatever their names, aren't read.
     """
 
+    ship(df.sparkSession)
+
     @F.pandas_udf("int")
     def shard_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for ids in batches:
