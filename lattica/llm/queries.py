@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontam, packing, pii, quality, sharding
+from lattica.llm import decontam, jaccard, packing, pii, quality, sharding, toxicity
 
 QUERIES = {
     "op2_packing": packing.query,
     "op4_quality": quality.query,
     "op5_decontamination": decontam.query,
+    "op6_ngram_jaccard": jaccard.query,
     "op7_sharding": sharding.query,
+    "op8_toxicity": toxicity.query,
     "op10_pii": pii.query,
 }
 ORACLE_SQL = {
     "op5_decontamination": decontam.ORACLE_SQL,
+    "op6_ngram_jaccard": jaccard.ORACLE_SQL,
     "op7_sharding": sharding.ORACLE_SQL,
 }
