@@ -1,3 +1,58 @@
+"""Training-data pipeline: raw documents in, packed training sequences out.
+
+Each stage takes ``(spark, docs, sf_dir)``; what it returns is written as Parquet and read again as the
+next stage's ``docs``, so every stage starts from durable files and a lost executor costs one stage's
+tasks at most. All stages but the last return the columns of ``documents``. Stages treat null and empty
+texts, repeated rows, empty tables and further columns as the operator that they call says.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lattica.llm import decontam, jaccard, packing, pii, quality
+from lattica.runtime import stored
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the additive model, fitted on ``labels``, doesn't reject."""
+    return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group of near copies."""
+    return jaccard.one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that contain no benchmark item."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal values in every text by pseudonyms of the same format."""
+    return pii.pseudonymize(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies among the training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pii_pseudonyms", pii_pseudonyms),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: The quality model is trained, which SQL can't express; tests compare the stages with brute force.
 ORACLE_SQL = None
-STAGES = []
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs
