@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.textkernel import shingle_hashes, word_hashes
+from lattica.llm.textkernel import shingle_hashes, slices, word_hashes
 from lattica.runtime import ship
 
 WORDS = 5
@@ -125,8 +125,9 @@ def items_of(benchmark: DataFrame, n: int = WORDS, threshold: float = THRESHOLD)
 
 
 def _each(texts: pd.Series) -> Iterator[np.ndarray]:
-    words, offsets = word_hashes(texts)
-    return (words[lo:hi] for lo, hi in zip(offsets[:-1], offsets[1:]))
+    for first, last in slices(map(len, texts.fillna(""))):
+        words, offsets = word_hashes(texts.iloc[first:last])
+        yield from (words[lo:hi] for lo, hi in zip(offsets[:-1], offsets[1:]))
 
 
 def ordered(docs: DataFrame, items: Items) -> Items:

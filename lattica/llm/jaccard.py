@@ -17,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.textkernel import shingle_sets
+from lattica.llm.textkernel import shingle_sets, slices
 from lattica.runtime import fresh_name, ship, stored
 
 WORDS, THRESHOLD = 3, 0.6
@@ -30,6 +31,7 @@ SKETCH, SLACK = 96, 0.2
 MOST_BROADCAST = 2_000_000
 #: Nodes of a component whose sets one task holds together; pairs of larger ones are joined one by one.
 MOST_TOGETHER = 20_000
+LIST = 1000
 
 _FACTORS = np.random.default_rng(4242).integers(1, 1 << 63, size=TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -57,20 +59,34 @@ def set_key(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def node_of(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
+def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of the batches with the shingle sets of their texts."""
     for batch in batches:
-        sets = shingle_sets(batch.column("text").to_pylist(), WORDS)
+        lengths = pc.binary_length(batch.column("text")).to_pylist()
+        for lo, hi in slices(lengths):
+            part = batch.slice(lo, hi - lo)
+            yield part, shingle_sets(part.column("text").to_pylist(), WORDS)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, sets in _text_slices(batches):
         rows = [i for i, s in enumerate(sets) if len(s)]
         own = [sets[i] for i in rows]
         sig = signatures(own) if own else np.zeros((0, TREES * DEPTH), np.uint32)
+        keys = [set_key(s) for s in own]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id").take(pa.array(rows, pa.int64())).cast(pa.int64()),
-                pa.array([set_key(s) for s in own], pa.binary()),
+                part.column("doc_id").take(pa.array(rows, pa.int64())).cast(pa.int64()),
+                pa.array(keys, pa.binary()),
+                pa.array([node_of(k) for k in keys], pa.int64()),
                 pa.array([row.tobytes() for row in sig], pa.binary()),
                 pa.array([row.tobytes() for row in (sig[:, :SKETCH] & 255).astype(np.uint8)], pa.binary()),
             ],
-            names=["doc_id", "key", "sig", "sketch"],
+            names=["doc_id", "key", "node", "sig", "sketch"],
         )
 
 
@@ -87,34 +103,35 @@ def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256))
 
 
-def _candidates(nodes: DataFrame, depth: int, threshold: float) -> DataFrame:
+def _candidates(signed: DataFrame, depth: int, threshold: float) -> DataFrame:
     """``(a, b, guess)`` of distinct node pairs that share a prefix and whose sketches are not far apart."""
-    buckets = nodes.select(
-        "key", F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {4 * DEPTH} + 1, {4 * depth})))")).alias("bucket")
+    prefix = f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {4 * DEPTH} + 1, {4 * depth})))"
+    # Copies fall together after the one shuffle by bucket, which the join on both sides reuses.
+    buckets = signed.select("node", F.explode(F.expr(prefix)).alias("bucket")).repartition("bucket").dropDuplicates(["bucket", "node"])
+    left = buckets.select(F.col("node").alias("a"), "bucket")
+    pairs = left.join(buckets.select(F.col("node").alias("b"), "bucket"), "bucket").where("a < b").select("a", "b").distinct()
+    sketches = signed.groupBy("node").agg(F.first("sketch").alias("sketch"))
+    guessed = (
+        pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+        .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+        .select("a", "b", F.pandas_udf(_estimate, "double")("sketch_a", "sketch_b").alias("guess"))
     )
-    pairs = (
-        buckets.select(F.col("key").alias("a"), "bucket")
-        .join(buckets.select(F.col("key").alias("b"), "bucket"), "bucket")
-        .where("a < b")
-        .select("a", "b")
-        .distinct()
-    )
-    left = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("sketch_a"))
-    right = nodes.select(F.col("key").alias("b"), F.col("sketch").alias("sketch_b"))
-    guessed = pairs.join(left, "a").join(right, "b").select("a", "b", F.pandas_udf(_estimate, "double")("sketch_a", "sketch_b").alias("guess"))
     return guessed.where(F.col("guess") >= threshold - SLACK)
 
 
-def forest(nodes: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
-    """Candidates at the longest prefix depth whose estimated recall reaches ``target``."""
-    for depth in range(DEPTH, 1, -1):
-        pairs = stored(_candidates(nodes, depth, threshold))
+def forest(signed: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
+    """Candidates at the longest prefixes that reach the target recall.
+
+    The first depth is the longest at which a pair right at the threshold is found with the target
+    chance. Prefixes are shortened further while the pairs found, each weighted by the inverse of its
+    chance to be found, say that too many of the least similar or of all were missed.
+    """
+    first = next((k for k in range(DEPTH, 1, -1) if found_chance(threshold, k) >= target), 1)
+    for depth in range(first, 0, -1):
+        pairs = stored(_candidates(signed, depth, threshold))
         seen = pairs.where(F.col("guess") >= threshold).groupBy(F.least(F.floor((F.col("guess") - threshold) * 10), F.lit(4)).alias("band"))
-        bands = sorted(
-            seen.agg(F.count("*").alias("n"), F.sum(1 / (1 - F.pow(1 - F.pow(F.least("guess", F.lit(1.0)), F.lit(float(depth))), F.lit(float(TREES))))).alias("there")).collect()
-        )  # five rows at most
-        if not bands and found_chance(threshold + 0.05, depth) < target:
-            continue  # nothing seen that says how much was missed
+        chance = 1 - F.pow(1 - F.pow(F.least("guess", F.lit(1.0)), F.lit(float(depth))), F.lit(float(TREES)))
+        bands = sorted(seen.agg(F.count("*").alias("n"), F.sum(1 / chance).alias("there")).collect())  # five rows at most
         if not bands or min(bands[0].n / bands[0].there, sum(b.n for b in bands) / sum(b.there for b in bands)) >= target:
             break
     return pairs
@@ -160,41 +177,43 @@ def _verified(threshold: float):
                     held[a] = own
                 elif a in held and b in held and (j := _overlap(held[a], held[b])) >= threshold:
                     out.append((a, b, j))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.float64())], names=["a", "b", "jaccard"])
+            columns = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "jaccard"])
 
     return verify
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = shingle_sets(batch.column("text").to_pylist(), WORDS)
-        same = [i for i, (s, key) in enumerate(zip(sets, batch.column("key").to_pylist())) if len(s) and set_key(s) == key]
+    for part, sets in _text_slices(batches):
+        same = [i for i, (s, node) in enumerate(zip(sets, part.column("node").to_pylist())) if len(s) and node_of(set_key(s)) == node]
         pick = pa.array(same, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("root").take(pick), batch.column("key").take(pick), pa.array([sets[i].tobytes() for i in same], pa.binary())], names=["root", "key", "own"])
+        yield pa.RecordBatch.from_arrays([part.column("root").take(pick), part.column("node").take(pick), pa.array([sets[i].tobytes() for i in same], pa.binary())], names=["root", "node", "own"])
 
 
 def node_pairs(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> tuple[DataFrame, DataFrame]:
-    """Members ``(doc_id, key)`` and verified pairs ``(a, b, jaccard)`` of keys."""
+    """Members ``(doc_id, node)`` and verified pairs ``(a, b, jaccard)`` of nodes.
+
+    A node is a distinct shingle set, known by 64 bits of its digest.
+    """
     ship(docs.sparkSession)
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(texts.mapInArrow(_signed, "doc_id long, key binary, sig binary, sketch binary"))
-    members = signed.select("doc_id", "key").distinct()
-    nodes = stored(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
-    pairs = forest(nodes, threshold, target)
-    roots = stored(components(pairs).join(nodes.select(F.col("key").alias("node"), "rep"), "node"))
+    signed = stored(texts.mapInArrow(_signed, "doc_id long, key binary, node long, sig binary, sketch binary"))
+    members = signed.select("doc_id", "node").distinct()
+    pairs = forest(signed, threshold, target)
+    roots = components(pairs)
+    # The least id of a node stands for its text when the sets are made again.
+    wanted = stored(members.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node"))
     crowds = stored(roots.groupBy("root").count().where(F.col("count") > MOST_TOGETHER).select("root"))
-    few = roots.count() <= MOST_BROADCAST
-    wanted = roots.select(F.col("rep").alias("doc_id"), F.col("node").alias("key"), "root")
-    owned = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").mapInArrow(_sets, "root binary, key binary, own binary")
-    owned = stored(owned)
-    placed = pairs.join(roots.select(F.col("node").alias("a"), "root"), "a").select("root", "a", "b")
+    few = wanted.count() <= MOST_BROADCAST
+    owned = stored(texts.join(F.broadcast(wanted) if few else wanted, "doc_id").mapInArrow(_sets, "root long, node long, own binary"))
+    placed = pairs.join(roots.withColumnRenamed("node", "a"), "a").select("root", "a", "b")
     together = (
-        owned.select("root", F.col("key").alias("a"), F.lit(None).cast("binary").alias("b"), "own")
+        owned.select("root", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "own")
         .unionByName(placed.select("root", "a", "b", F.lit(None).cast("binary").alias("own")))
-        .join(F.broadcast(crowds), "root", "left_anti")
+        .join(crowds, "root", "left_anti")
         .repartition("root")
         .sortWithinPartitions("root", F.col("b").asc_nulls_first())
-        .mapInArrow(_verified(threshold), "a binary, b binary, jaccard double")
+        .mapInArrow(_verified(threshold), "a long, b long, jaccard double")
     )
     if crowds.isEmpty():
         return members, stored(together)
@@ -203,11 +222,11 @@ def node_pairs(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([_overlap(p, q) for p, q in zip(x, y)], dtype="float64")
 
-    own = owned.select("key", "own").dropDuplicates(["key"])
+    own = owned.select("node", "own").dropDuplicates(["node"])
     single = (
         placed.join(crowds, "root", "left_semi")
-        .join(own.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a")
-        .join(own.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
+        .join(own.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
+        .join(own.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
         .select("a", "b", similarity("own_a", "own_b").alias("jaccard"))
         .where(F.col("jaccard") >= threshold)
     )
@@ -223,18 +242,23 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     table gives no rows. Only ``doc_id`` and ``text`` are read, so further columns don't matter.
     """
     members, pairs = node_pairs(docs, threshold, target)
-    left = members.select(F.col("doc_id").alias("x"), F.col("key").alias("a"))
-    right = members.select(F.col("doc_id").alias("y"), F.col("key").alias("b"))
-    across = pairs.join(left, "a").join(right, "b").select("x", "y", "jaccard")
-    same = left.join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
-    ordered = across.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    return ordered.unionByName(same.select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), "jaccard"))
+    # Copies travel as lists of about a thousand ids, so that pairs of them are written, never shuffled.
+    counted = members.withColumn("n", F.count("*").over(Window.partitionBy("node")))
+    chunk = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / LIST))
+    chunked = counted.withColumn("chunk", chunk).groupBy("node", "n", "chunk").agg(F.collect_list("doc_id").alias("ids"))
+    chunked = stored(chunked)
+    left = chunked.select(F.col("node").alias("a"), "n", F.col("ids").alias("x"))
+    right = chunked.select(F.col("node").alias("b"), F.col("ids").alias("y"))
+    across = pairs.join(left, "a").join(right, "b").select("jaccard", F.explode("x").alias("x"), "y").select("jaccard", "x", F.explode("y").alias("y")).where("x <> y")
+    same = left.where("n > 1").join(right, F.col("a") == F.col("b")).select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y")).where("x < y")
+    ordered = across.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    return ordered.unionByName(same.select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), F.lit(1.0).alias("jaccard")))
 
 
 def redundant(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
     """``(doc_id)`` of all documents but the least id of each group that the pairs connect."""
     members, pairs = node_pairs(docs, threshold, target)
-    grouped = members.join(components(pairs).withColumnRenamed("node", "key"), "key", "left").select("doc_id", F.coalesce("root", "key").alias("root"))
+    grouped = members.join(components(pairs), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
     return grouped.join(least, "root").where("doc_id <> least").select("doc_id").distinct()
 

@@ -152,3 +152,15 @@ def shingle_sets(texts: Iterable[str | None], n: int) -> list[np.ndarray]:
         else:
             out.append(shingle_hashes(words[lo:hi], int(hi - lo)) if hi > lo else np.zeros(0, np.uint64))
     return out
+
+
+def slices(sizes: Iterable[int | None], most: int = 1 << 22) -> Iterable[tuple[int, int]]:
+    """Ranges of rows of about ``most`` characters together, so that a batch's arrays stay small."""
+    lo, held, i = 0, 0, -1
+    for i, size in enumerate(sizes):
+        held += (size or 0) + 1
+        if held >= most:
+            yield lo, i + 1
+            lo, held = i + 1, 0
+    if lo <= i:
+        yield lo, i + 1
