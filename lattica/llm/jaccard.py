@@ -26,7 +26,7 @@ from lattica.runtime import fresh_name, ship, stored
 
 WORDS, THRESHOLD = 3, 0.6
 TREES, DEPTH, TARGET = 24, 6, 0.95
-SKETCH, SLACK = 96, 0.2
+SLACK = 0.2
 #: Ids up to this count are broadcast to pick out the texts to verify; beyond it they are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 #: Nodes of a component whose sets one task holds together; pairs of larger ones are joined one by one.
@@ -55,6 +55,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each minimum hash, four to a byte."""
+    low = (sig & 3).astype(np.uint8).reshape(len(sig), -1, 4)
+    return low[:, :, 0] | low[:, :, 1] << 2 | low[:, :, 2] << 4 | low[:, :, 3] << 6
+
+
 def set_key(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
@@ -84,7 +90,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(keys, pa.binary()),
                 pa.array([node_of(k) for k in keys], pa.int64()),
                 pa.array([row.tobytes() for row in sig], pa.binary()),
-                pa.array([row.tobytes() for row in (sig[:, :SKETCH] & 255).astype(np.uint8)], pa.binary()),
+                pa.array([row.tobytes() for row in sketches(sig)], pa.binary()),
             ],
             names=["doc_id", "key", "node", "sig", "sketch"],
         )
@@ -96,24 +102,32 @@ def found_chance(j: np.ndarray | float, depth: int) -> np.ndarray | float:
 
 
 def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaccard similarity by the share of equal sketch bytes."""
+    """Jaccard similarity by the share of equal hashes in two sketches, less those equal by chance."""
     if not len(a):
         return pd.Series([], dtype="float64")
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, SKETCH) for s in (a, b))
-    return pd.Series(((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256))
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
+    differ = x ^ y
+    unequal = (differ | differ >> 1) & 0x55
+    equal = 1 - np.bitwise_count(unequal).sum(axis=1) / (4 * x.shape[1])
+    return pd.Series((equal - 0.25) / 0.75)
 
 
 def _candidates(signed: DataFrame, depth: int, threshold: float) -> DataFrame:
     """``(a, b, guess)`` of distinct node pairs that share a prefix and whose sketches are not far apart."""
-    prefix = f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {4 * DEPTH} + 1, {4 * depth})))"
+    hashed = f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {4 * DEPTH} + 1, {4 * depth})))"
+    # A pair is told once for each run of trees that it shares, by its first: p and q are the labels two trees before.
+    labelled = signed.select("node", F.expr(hashed).alias("h")).select("node", "h", F.posexplode("h").alias("t", "bucket"))
+    before = [F.expr(f"CASE WHEN t >= {k} THEN int(shiftright(h[t - {k}], 32)) END").alias(name) for k, name in ((1, "p"), (2, "q"))]
     # Copies fall together after the one shuffle by bucket, which the join on both sides reuses.
-    buckets = signed.select("node", F.explode(F.expr(prefix)).alias("bucket")).repartition("bucket").dropDuplicates(["bucket", "node"])
-    left = buckets.select(F.col("node").alias("a"), "bucket")
-    pairs = left.join(buckets.select(F.col("node").alias("b"), "bucket"), "bucket").where("a < b").select("a", "b").distinct()
-    sketches = signed.groupBy("node").agg(F.first("sketch").alias("sketch"))
+    buckets = labelled.select("node", "bucket", *before).repartition("bucket").dropDuplicates(["bucket", "node"])
+    left = buckets.select(F.col("node").alias("a"), "bucket", "p", "q")
+    right = buckets.select(F.col("node").alias("b"), "bucket", F.col("p").alias("p_"), F.col("q").alias("q_"))
+    told = F.coalesce(F.col("p") == F.col("p_"), F.lit(False)) | F.coalesce(F.col("q") == F.col("q_"), F.lit(False))
+    pairs = left.join(right, "bucket").where((F.col("a") < F.col("b")) & ~told).select("a", "b").distinct()
+    own = signed.groupBy("node").agg(F.first("sketch").alias("sketch"))
     guessed = (
-        pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-        .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+        pairs.join(own.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+        .join(own.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
         .select("a", "b", F.pandas_udf(_estimate, "double")("sketch_a", "sketch_b").alias("guess"))
     )
     return guessed.where(F.col("guess") >= threshold - SLACK)
@@ -140,18 +154,30 @@ def forest(signed: DataFrame, threshold: float = THRESHOLD, target: float = TARG
 def components(pairs: DataFrame) -> DataFrame:
     """``(node, root)`` of the nodes of undirected pairs ``(a, b)``; the root is the least node.
 
-    Least labels spread along the pairs and then along themselves, so a round more than doubles their reach.
+    Every node hooks onto its least neighbour, the hooks are followed to their ends, and the pairs
+    between different ends are the next, far smaller graph. Dense groups vanish in the first round.
     """
-    both = stored(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
+    edges, whole = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), None
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").groupBy(F.col("u").alias("node")).agg(F.min("r").alias("near"))
-        spread = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("root").alias("beyond"))
-        new = stored(spread.join(jump, "low", "left").select("node", F.col("root").alias("old"), F.least("low", F.coalesce("beyond", "low")).alias("root")))
-        labels = new.select("node", "root")
-        if new.where("old <> root").isEmpty():
-            return labels
+        down = edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("v").alias("root")))
+        hooks = stored(down.groupBy("node").agg(F.min("root").alias("root")).select("node", F.least("node", "root").alias("root")))
+        while True:  # pointer jumping over nodes
+            further = hooks.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
+            jumped = stored(hooks.join(further, "root").select("node", F.col("root").alias("old"), F.col("beyond").alias("root")))
+            hooks = jumped.select("node", "root")
+            if jumped.where("old <> root").isEmpty():
+                break
+        ends = hooks.select(F.col("node").alias("u"), F.col("root").alias("x"))
+        others = hooks.select(F.col("node").alias("v"), F.col("root").alias("y"))
+        between = edges.join(ends, "u").join(others, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+        edges = stored(between)
+        if whole is None:
+            whole = hooks
+        else:
+            moved = hooks.select(F.col("node").alias("root"), F.col("root").alias("to"))
+            whole = stored(whole.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        if edges.isEmpty():
+            return whole
 
 
 def _overlap(x: bytes, y: bytes) -> float:
