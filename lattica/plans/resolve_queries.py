@@ -83,8 +83,8 @@ def ancestor_chain3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("arity_narrow", """WITH c AS (SELECT l_orderkey AS ord, l_linenumber AS id, (l_orderkey % 5)::INT AS arg_count, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE (l_partkey % 4)::INT END AS arity, l_suppkey % 3 = 0 AS "variadic" FROM lineitem),
-f AS (SELECT *, arity IS NULL OR CASE WHEN "variadic" THEN arg_count >= arity - 1 ELSE arg_count = arity END AS fits FROM c)
-SELECT ord, id, arg_count, arity, "variadic" FROM (SELECT *, max(fits::INT) OVER (PARTITION BY ord) AS some FROM f) WHERE fits OR some = 0""")
+f AS (SELECT c.*, arity IS NULL OR CASE WHEN "variadic" THEN arg_count >= arity - 1 ELSE arg_count = arity END AS fits FROM c)
+SELECT ord, id, arg_count, arity, "variadic" FROM (SELECT *, max(fits::INT) OVER (PARTITION BY ord) AS any_fit FROM f) WHERE fits OR any_fit = 0""")
 def arity_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = V.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey ord", "l_linenumber id", "int(l_orderkey % 5) arg_count", "if(l_partkey % 11 = 0, null, int(l_partkey % 4)) arity", "l_suppkey % 3 = 0 variadic")
     return resolve.narrow_by_arity(c)
