@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+BATCH_CONF, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,4 +77,7 @@ def ship(spark: SparkSession) -> None:
         for source in sorted(package.rglob("*.py")):
             out.write(source, str(source.relative_to(package.parent)))
     context.addPyFile(archive)
+    # Batches bounded by bytes keep workers and buffers small whatever the texts; a setting of the user's own stays.
+    if spark.conf.get(BATCH_CONF, DEFAULT_BATCH) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_CONF, "4194304b")
     _SHIPPED.add(context.applicationId)
