@@ -34,23 +34,18 @@ def turn_tokens(role: str | None, text: str | None, tokenizer: str = TOKENIZER)
     return [*out, END_OF_TURN]
 
 
-def turns(conversations: DataFrame) -> DataFrame:
-    """``(conv_id, ord, role, text, path)`` with turns numbered from 1 and a path of hashes to each."""
-    rows = conversations.select("conv_id", "turn", "role", "text").where("conv_id IS NOT NULL").distinct()
-    own = rows.select(
-        "conv_id",
-        F.struct(F.col("turn").isNull().alias("last"), "turn", F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("t"), "role", "text").alias("s"),
-    )
-    lists = own.groupBy("conv_id").agg(F.array_sort(F.collect_list("s")).alias("all"))
-    coded = lists.withColumn(
-        "codes",
-        F.expr(
-            "transform(all, x -> unhex(sha2(concat(case when x.role is null then 'n' else concat('r', sha2(x.role, 256)) end, '|', sha2(x.t, 256)), 256)))"
-        ),
-    )
-    return coded.select("conv_id", "codes", F.posexplode("all").alias("i", "s")).select(
-        "conv_id", (F.col("i") + 1).alias("ord"), F.col("s.role").alias("role"), F.col("s.t").alias("text"), F.expr("slice(codes, 1, i + 1)").alias("path")
-    )
+def _rows(conversations: DataFrame, tokenizer: str) -> DataFrame:
+    """``(conv_id, turn, code, tokens)`` of distinct turns; equal codes mean equal roles and texts."""
+
+    @F.pandas_udf("array<int>")
+    def tokens_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for roles, texts in batches:
+            yield pd.Series([turn_tokens(r, t, tokenizer) for r, t in zip(roles, texts)], dtype=object)
+
+    own = conversations.where("conv_id IS NOT NULL").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("role").isNull(), "n").otherwise(F.concat(F.lit("r"), F.sha2("role", 256)))
+    code = F.unhex(F.sha2(F.concat(role, F.sha2(F.coalesce("text", F.lit("")), 256)), 256))
+    return own.select("conv_id", "turn", code.alias("code"), tokens_of("role", "text").alias("tokens"))
 
 
 def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -62,27 +57,27 @@ def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFr
     where they touch, nearest last; a token also attends to its own node's tokens before it. ``ends``
     lists the conversations whose last turn this is, and ``conversations`` counts those that pass.
 
-    Turns without a conversation are left out; a null turn number comes last; ties are ordered by role
-    and text, and repeated rows count once. A null text is an empty one. An empty table gives no rows;
-    further columns aren't read.
+    Turns without a conversation are left out; a null turn number comes last; ties are ordered by
+    their digests, and repeated rows count once. A null text is an empty one. An empty table gives no
+    rows; further columns aren't read.
+
+    Only digests and token counts are sorted and joined. The tokens, written once, move once, to the
+    node whose first witness they are.
     """
     ship(conversations.sparkSession)
-
-    @F.pandas_udf("array<int>")
-    def tokens_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for roles, texts in batches:
-            yield pd.Series([turn_tokens(r, t, tokenizer) for r, t in zip(roles, texts)], dtype=object)
-
-    all_turns = turns(conversations)
-    size = Window.partitionBy("conv_id")
-    ended = all_turns.withColumn("ended", F.when(F.col("ord") == F.max("ord").over(size), F.col("conv_id")))
-    merged = ended.groupBy("path").agg(F.first("role").alias("role"), F.first("text").alias("text"), F.count("*").alias("conversations"), F.array_sort(F.collect_list("ended")).alias("ends"))
-    nodes = stored(
-        merged.select("path", "conversations", "ends", tokens_of("role", "text").alias("tokens"))
-        .withColumn("size", F.size("tokens").cast("long"))
-        .repartitionByRange("path")
-        .withColumn("part", F.spark_partition_id())
+    rows = stored(_rows(conversations, tokenizer))
+    step = F.struct(F.col("turn").isNull().alias("last"), "turn", "code", F.size("tokens").cast("long").alias("n"))
+    lists = rows.groupBy("conv_id").agg(F.array_sort(F.collect_set(step)).alias("all"))
+    each = lists.select("conv_id", F.expr("transform(all, x -> x.code)").alias("codes"), F.size("all").alias("length"), F.posexplode("all").alias("i", "s")).select(
+        F.expr("slice(codes, 1, i + 1)").alias("path"),
+        F.col("s.n").alias("size"),
+        F.struct("conv_id", "s.turn", "s.code").alias("witness"),
+        F.when(F.col("i") + 1 == F.col("length"), F.col("conv_id")).alias("ended"),
     )
+    merged = each.groupBy("path").agg(
+        F.first("size").alias("size"), F.min("witness").alias("witness"), F.count("*").alias("conversations"), F.array_sort(F.collect_list("ended")).alias("ends")
+    )
+    nodes = stored(merged.repartitionByRange("path").withColumn("part", F.spark_partition_id()))
     inside = Window.partitionBy("part").orderBy("path")
     totals = nodes.groupBy("part").agg(F.count("*").alias("rows"), F.sum("size").alias("sum"))  # a row a partition
     before = totals.select(
@@ -90,19 +85,24 @@ def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFr
         (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("rows_before"),
         (F.sum("sum").over(Window.orderBy("part")) - F.col("sum")).alias("sum_before"),
     )
-    order = (
+    order = stored(
         nodes.withColumn("rank", F.row_number().over(inside) - 1)
         .withColumn("run", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .join(F.broadcast(before), F.col("part") == F.col("part_"))
-        .select("path", "conversations", "ends", "tokens", "size", (F.col("rank") + F.col("rows_before")).cast("long").alias("node"), (F.col("run") + F.col("sum_before")).alias("at"))
-    )
-    order = stored(order)
+        .select(
+            "path", "conversations", "ends", "witness", "size",
+            (F.col("rank") + F.col("rows_before")).cast("long").alias("node"),
+            (F.col("run") + F.col("sum_before")).alias("at"),
+        )
+    )
     # Every node meets its ancestors: their places in the order give intervals, parents and roots.
-    places = order.select(F.col("path").alias("above"), F.col("node").alias("n"), F.col("at").alias("a"), F.col("size").alias("s"))
-    chains = order.select("path", F.explode(F.expr("transform(sequence(1, size(path)), k -> slice(path, 1, k))")).alias("above"))
-    lines = chains.join(places, "above").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "a", "s"))).alias("line"))
+    digest = "unhex(sha2(array_join(transform(slice(path, 1, {}), c -> hex(c)), ''), 256))"
+    places = order.select(F.expr(digest.format("size(path)")).alias("above"), F.struct(F.col("node").alias("n"), F.col("at").alias("a"), F.col("size").alias("s")).alias("place"))
+    chains = order.select("node", F.explode(F.expr(f"transform(sequence(1, size(path)), k -> {digest.format('k')})")).alias("above"))
+    lines = chains.join(places, "above").groupBy("node").agg(F.array_sort(F.collect_list("place")).alias("line"))
     shift = "x.a - line[0].a"
-    built = order.join(lines, "path").select(
+    built = order.join(lines, "node").select(
+        "witness",
         F.expr("line[0].n").alias("tree_id"),
         "node",
         F.expr("CASE WHEN size(line) > 1 THEN element_at(line, -2).n END").alias("parent"),
@@ -111,7 +111,6 @@ def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFr
         "ends",
         (F.col("at") - F.expr("line[0].a")).alias("start"),
         F.expr("aggregate(slice(line, 1, size(line) - 1), 0L, (p, x) -> p + x.s)").alias("position"),
-        "tokens",
         F.expr(
             f"""aggregate(slice(line, 1, size(line) - 1), cast(array() as array<struct<from: bigint, to: bigint>>), (acc, x) ->
             CASE WHEN size(acc) > 0 AND element_at(acc, -1).to = {shift}
@@ -119,7 +118,9 @@ def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFr
               ELSE concat(acc, array(named_struct('from', {shift}, 'to', {shift} + x.s))) END)"""
         ).alias("attends"),
     )
-    return built
+    tokens = rows.select(F.struct("conv_id", "turn", "code").alias("key"), "tokens")
+    found = built.join(tokens, F.col("witness").eqNullSafe(F.col("key"))).dropDuplicates(["node"])
+    return found.select("tree_id", "node", "parent", "depth", "conversations", "ends", "start", "position", "tokens", "attends")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
