@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lattica.llm.textkernel import shingle_sets, slices
 from lattica.runtime import fresh_name, ship, stored
 
-WORDS, THRESHOLD = 3, 0.6
-TREES, DEPTH, TARGET = 24, 6, 0.95
+WORDS, THRESHOLD = 3, 0.55
+TREES, DEPTH, TARGET = 32, 5, 0.95
 SLACK = 0.2
 #: Ids up to this count are broadcast to pick out the texts to verify; beyond it they are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
