@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 STOP_WORDS = tuple("a an and are can do does for get how i in is it of on or set that the this to use used using we what when where which why with".split())
 
 #: Paths of tests, as ranking sees them, and as change reports do; the two differ on purpose.
-RANK_TEST_PATH = r"(?i)(^|/)(tests?|__tests__|spec)/|(_test|\.test|\.spec)\.[a-z]+$|(^|/)(test_[^/]+|conftest)\.py$"
-REPORT_TEST_PATH = r"(?i)(^|/)(tests?|specs?|__tests__)/|\.(test|spec)\.[cm]?[jt]sx?$|_test\.(go|py|rb)$"
+RANK_TEST_PATH = "(?i)" + "|".join((r"(?:^|/)(?:spec|__tests__|tests?)/", r"[._]test\.[a-z]+$", r"\.spec\.[a-z]+$", r"(?:^|/)conftest\.py$", r"(?:^|/)test_[^/]+\.py$"))
+REPORT_TEST_PATH = "(?i)" + "|".join((r"(?:^|/)(?:__tests__|specs?|tests?)/", r"_test\.(?:rb|py|go)$", r"\.(?:spec|test)\.[cm]?[jt]sx?$"))
 
 FAMILIES = {"contains": "structure", "part_of": "structure", "calls": "dependency", "imports": "dependency", "uses": "dependency", "depends_on": "dependency", "implements": "contract", "extends": "contract", "validates": "contract", "configures": "contract", "references": "association"}
-RENAMED = {"influences": "configures", "supports": "validates", "defines": "validates", "measures": "validates"}
+RENAMED = dict.fromkeys(("defines", "measures", "supports"), "validates") | {"influences": "configures"}
 
 
 def tokens(text: Column) -> Column:
     """Lower-case subwords of prose and identifiers, without stop words and single characters."""
-    split = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "([a-z0-9])([A-Z])", "$1 $2")), "[^a-z0-9]+")
+    split = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "([0-9a-z])([A-Z])", "$1 $2")), "[^a-z0-9]+")
     return F.filter(split, lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from lattica.operators.joins import innermost_span_join
 
+_JOINTS = tuple("across and by for from in of over to using via with".split())
+_CALLER_WORDS = ("used by", "uses", "called by", "what calls", "who calls", "callers?", "calls? into")
+_CALLEE_WORDS = ("depends on", "imports?", "calls what", r"what does \w+ call", "callees?")
 HIT_CHARS, MOST_HITS, RESIDUAL_CHARS, BATCH_CHARS = 160, 300, 16_000, 48_000
 
 
@@ -71,7 +74,7 @@ def short_label(label: str, most: int = 30) -> str:
     bare = re.sub(r"^concepts?:\s*", "", label, flags=re.I).strip()
     if len(bare) <= most:
         return bare
-    joint = re.search(r"\s(?:\(|—|-\s)|:\s|\s(?:via|and|for|with|using|in|across|over|from|of|by|to)\s", bare, re.I)
+    joint = re.search(rf":\s|\s(?:{'|'.join(_JOINTS)})\s|\s[(—]|\s-\s", bare, re.I)
     if joint and 8 <= joint.start() <= most:
         return bare[: joint.start()].rstrip()
     cut = bare.rfind(" ", 0, most + 1)
@@ -94,9 +97,10 @@ def structural_intent(query: str) -> str | None:
     """'in', 'out' or None; case-sensitive, and incoming wins."""
     import re
 
-    if re.search(r"\b(callers?|calls?\s+into|(?:who|what)\s+calls|called\s+by|used\s+by|uses)\b", query):
-        return "in"
-    return "out" if re.search(r"\b(callees?|what\s+does\s+\w+\s+call|calls\s+what|imports?|depends\s+on)\b", query) else None
+    for intent, words in (("in", _CALLER_WORDS), ("out", _CALLEE_WORDS)):
+        if re.search(rf"\b(?:{'|'.join(words)})\b".replace(" ", r"\s+"), query):
+            return intent
+    return None
 
 
 def subject_words(query: str) -> list[str]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators.joins import first_candidate, first_rows, unique_match
 
-EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".java")
+EXTENSIONS = tuple(f".{e}" for e in "ts tsx js jsx mjs cjs py go java".split())
 
 
 def resolve_names(raw: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators.joins import first_rows
 
-MARKERS = ("package.json", "pyproject.toml", "setup.py", "go.mod", "Cargo.toml", "pom.xml", "build.gradle", "build.gradle.kts", "composer.json", "Gemfile")
+MARKERS = tuple("Cargo.toml Gemfile build.gradle build.gradle.kts composer.json go.mod package.json pom.xml pyproject.toml setup.py".split())
 MOST_DEPTH, LEAST_SYMBOLS = 2, 5
 
 

@@ -11,6 +11,7 @@ from lattica.functions.scalars import is_test_for_rank, tokens
 
 K1, B = 1.2, 0.75
 TEST_PENALTY, GRAPH_WEIGHT, RESCUE_FLOOR = 0.35, 0.5, 0.15
+_TEST_WORDS = ("mocks?", "fixtures?", "asserts?", "assertions?", "coverage", "specs?", "tests?")
 
 
 def token_bags(docs: DataFrame, fields: Sequence[str] = ("name", "path", "body")) -> DataFrame:
@@ -62,7 +63,7 @@ def field_scores(docs: DataFrame, query: str) -> DataFrame:
 def asks_for_tests(query: str) -> bool:
     import re
 
-    return bool(re.search(r"\b(tests?|specs?|coverage|assert(?:ion)?s?|fixtures?|mocks?)\b", query, re.I))
+    return bool(re.search(rf"\b(?:{'|'.join(_TEST_WORDS)})\b", query, re.I))
 
 
 def test_factor(path: Column, query: str) -> Column:

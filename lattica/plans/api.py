@@ -12,7 +12,7 @@ from lattica.operators import fuse, graph, reports, text
 from lattica.operators.joins import longest_prefix_join, overlap_innermost
 from lattica.sources.files import language
 
-IN_RELATIONS, OUT_RELATIONS = ("calls", "references", "implements", "extends"), ("calls", "references", "imports", "implements", "extends")
+IN_RELATIONS, OUT_RELATIONS = ("calls implements extends references".split(), "calls implements imports extends references".split())
 
 
 class Index:

@@ -95,7 +95,7 @@ _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 def sql_tokens(text: str) -> str:
     return (
-        f"list_filter(string_split_regex(lower(regexp_replace({text}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), "
+        f"list_filter(string_split_regex(lower(regexp_replace({text}, '([0-9a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), "
         f"lambda t: length(t) > 1 AND t NOT IN ({_STOPS}))"
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lattica.runtime import ship
 
 MOST_BYTES = 1_000_000
-SKIPPED = ("node_modules", "dist", "build", "out", "target", "vendor", "coverage", "venv", "__pycache__")
+SKIPPED = tuple("__pycache__ build coverage dist node_modules out target vendor venv".split())
 
 #: suffix, grammar, label, tier. The longest suffix that fits decides; depth wins over breadth.
 LANGUAGES = (
