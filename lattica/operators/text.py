@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.scalars import is_test_for_rank, tokens
+from lattica.functions.scalars import STOP_WORDS, is_test_for_rank, tokens
 
 K1, B = 1.2, 0.75
 TEST_PENALTY, GRAPH_WEIGHT, RESCUE_FLOOR = 0.35, 0.5, 0.15
@@ -34,35 +35,61 @@ def corpus_stats(docs: DataFrame, bags: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n")).crossJoin(total).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
 
 
-def query_terms(spark: SparkSession, query: str) -> DataFrame:
-    """``(token)``, each once."""
-    return spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(query)))).alias("token"))
+def query_terms(query: str) -> list[str]:
+    """The query's tokens, each once; the same rule as :func:`lattica.functions.scalars.tokens`."""
+    split = re.split("[^a-z0-9]+", re.sub("([0-9a-z])([A-Z])", r"\1 \2", query).lower())
+    return list(dict.fromkeys(t for t in split if len(t) > 1 and t not in STOP_WORDS))
+
+
+def _counts(docs: DataFrame, forms: list[list[str]], fields: Sequence[str]) -> DataFrame:
+    """``(id, dl, t_<field>)``: body length and, for each query term, how often any of its forms is in a field.
+
+    One narrow pass: tokens are made once a row and nothing is shuffled.
+    """
+    bags = docs.select("id", *[tokens(F.col(f)).alias(f"_{f}") for f in dict.fromkeys([*fields, "body"])])
+
+    def hits(field: str) -> Column:
+        return F.array(*[F.size(F.filter(f"_{field}", _among(own))) for own in forms])
+
+    return bags.select("id", F.size("_body").alias("dl"), *[hits(f).alias(f"t_{f}") for f in fields])
+
+
+def _among(forms: list[str]):
+    return lambda t: t.isin(*forms)
+
+
+def _statistics(counted: DataFrame, terms: int, fields: Sequence[str]) -> DataFrame:
+    """One row ``(n, avgdl, w)`` with the idf weight of each term."""
+    df = [F.sum(F.when(sum((F.col(f"t_{f}")[k] for f in fields), F.lit(0)) > 0, 1).otherwise(0)) for k in range(terms)]
+    row = counted.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), F.array(*df).alias("df"))
+    weights = F.transform("df", lambda d: idf(d, F.col("n")))
+    return row.select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"), weights.alias("w"))
 
 
 def field_scores(docs: DataFrame, query: str) -> DataFrame:
     """``(id, name_score, path_score, body_score)`` of documents with any query term.
 
-    Only bags of query terms are ever formed: the term filter sits on the exploded tokens, so the one
-    shuffle of the scan carries matching tokens and lengths.
+    Two narrow passes over the documents, the first of which ends in one row of statistics; no shuffle.
     """
-    terms = query_terms(docs.sparkSession, query)
-    bags = token_bags(docs)
-    stats = corpus_stats(docs, bags)
-    weight = document_frequency(bags).join(F.broadcast(terms), "token").crossJoin(stats.select("n")).select("token", idf(F.col("df"), F.col("n")).alias("w"))
-    length = docs.select("id", F.size(tokens(F.col("body"))).alias("dl"))
-    hit = bags.join(F.broadcast(terms), "token").join(weight, "token").join(length, "id").crossJoin(stats.select("avgdl"))
+    terms, fields = query_terms(query), ("name", "path", "body")
+    if not terms:
+        return docs.select("id", *[F.lit(0.0).alias(f"{f}_score") for f in fields]).where(F.lit(False))
+    counted = _counts(docs, [[t] for t in terms], fields)
+    stats = _statistics(counted, len(terms), fields)
     norm = K1 * (1 - B + B * F.col("dl") / F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl")))
 
-    def plain(field: str) -> Column:
-        return F.sum(F.when(F.col("field") == field, F.col("tf") * F.col("w")).otherwise(0.0))
+    def total(each) -> Column:
+        return sum((each(k) for k in range(len(terms))), F.lit(0.0))
 
-    body = F.sum(F.when(F.col("field") == "body", F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).otherwise(0.0))
-    return hit.groupBy("id").agg(plain("name").alias("name_score"), plain("path").alias("path_score"), body.alias("body_score"))
+    def plain(f: str) -> Column:
+        return total(lambda k: F.col("w")[k] * F.col(f"t_{f}")[k])
 
+    body = total(lambda k: F.col("w")[k] * F.col("t_body")[k] * (K1 + 1) / (F.col("t_body")[k] + norm))
+    some = F.exists(F.concat(*[f"t_{f}" for f in fields]), lambda c: c > 0)
+    return counted.where(some).crossJoin(F.broadcast(stats)).select("id", plain("name").alias("name_score"), plain("path").alias("path_score"), body.alias("body_score"))
 
-def asks_for_tests(query: str) -> bool:
-    import re
 
+def asks_for_tests(query: str) -> bool:
     return bool(re.search(rf"\b(?:{'|'.join(_TEST_WORDS)})\b", query, re.I))
 
 
@@ -78,16 +105,18 @@ def lexical_rank(docs: DataFrame, query: str) -> DataFrame:
 
 
 def coverage(docs: DataFrame, query: str, fields: Sequence[str]) -> DataFrame:
-    """``(id, share)``: idf-weighted share of the query that a document matches, plurals folded."""
-    terms = query_terms(docs.sparkSession, query)
-    bags = token_bags(docs)
-    n = docs.agg(F.count("*").alias("n"))
-    weights = terms.join(document_frequency(bags), "token", "left").crossJoin(n).select("token", F.coalesce(idf(F.col("df"), F.col("n")), F.log(1 + F.col("n"))).alias("w"))
-    total = weights.agg(F.sum("w").alias("total"))
-    forms = F.array_compact(F.array(F.col("token"), F.concat("token", F.lit("s")), F.when(F.col("token").endswith("s"), F.expr("substring(token, 1, length(token) - 1)"))))
-    wanted = weights.select(F.col("token").alias("term"), "w", F.explode(forms).alias("token"))
-    hit = bags.where(F.col("field").isin(*fields)).join(F.broadcast(wanted), "token").select("id", "term", "w").distinct()
-    return hit.groupBy("id").agg(F.sum("w").alias("m")).crossJoin(total).select("id", (F.col("m") / F.col("total")).alias("share"))
+    """``(id, share)``: idf-weighted share of the query that a document matches, plurals folded.
+
+    Weights come from all fields and exact tokens, matches from the chosen fields. Two narrow passes.
+    """
+    terms, every = query_terms(query), ("name", "path", "body")
+    if not terms:
+        return docs.select("id", F.lit(0.0).alias("share")).where(F.lit(False))
+    stats = _statistics(_counts(docs, [[t] for t in terms], every), len(terms), every)
+    folded = _counts(docs, [[t, t + "s", *([t[:-1]] if t.endswith("s") else [])] for t in terms], fields)
+    matched = sum((F.when(sum((F.col(f"t_{f}")[k] for f in fields), F.lit(0)) > 0, F.col("w")[k]).otherwise(0.0) for k in range(len(terms))), F.lit(0.0))
+    whole = F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x)
+    return folded.crossJoin(F.broadcast(stats)).select("id", (matched / whole).alias("share")).where("share > 0")
 
 
 def blend(lexical: DataFrame, walk: DataFrame, docs: DataFrame, query: str) -> DataFrame:
