@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.packing import TOKENIZER, encoding, pieces_of
@@ -48,6 +48,10 @@ def _rows(conversations: DataFrame, tokenizer: str) -> DataFrame:
     return own.select("conv_id", "turn", code.alias("code"), tokens_of("role", "text").alias("tokens"))
 
 
+def _key(conv_id: Column, turn: Column, code: Column) -> Column:
+    return F.unhex(F.sha2(F.concat_ws("|", conv_id.cast("string"), F.coalesce(turn.cast("string"), F.lit("none")), F.hex(code)), 256))
+
+
 def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """One row a node: ``(tree_id, node, parent, depth, conversations, ends, start, position, tokens, attends)``.
 
@@ -118,8 +122,10 @@ def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFr
               ELSE concat(acc, array(named_struct('from', {shift}, 'to', {shift} + x.s))) END)"""
         ).alias("attends"),
     )
-    tokens = rows.select(F.struct("conv_id", "turn", "code").alias("key"), "tokens")
-    found = built.join(tokens, F.col("witness").eqNullSafe(F.col("key"))).dropDuplicates(["node"])
+    # Repeated rows fall together under the same hash partitioning that the join needs.
+    tokens = rows.select(_key(F.col("conv_id"), F.col("turn"), F.col("code")).alias("key"), "tokens").repartition("key").dropDuplicates(["key"])
+    placed = built.withColumn("key", _key(F.col("witness.conv_id"), F.col("witness.turn"), F.col("witness.code")))
+    found = placed.join(tokens, "key")
     return found.select("tree_id", "node", "parent", "depth", "conversations", "ends", "start", "position", "tokens", "attends")
 
 
