@@ -19,15 +19,21 @@ from lattica.runtime import ship
 
 NODE = pa.schema([
     ("id", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("owner", pa.string()), ("path", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()),
-    ("signature", pa.string()), ("exported", pa.bool_()), ("origin", pa.string()), ("body_hash", pa.string()), ("chars", pa.int32()), ("arity", pa.int32()), ("variadic", pa.bool_()),
+    ("signature", pa.string()), ("exported", pa.bool_()), ("origin", pa.string()), ("body_hash", pa.string()), ("chars", pa.int32()), ("body_text", pa.string()), ("arity", pa.int32()), ("variadic", pa.bool_()),
 ])
 EDGE = pa.schema([
     ("source", pa.string()), ("relation", pa.string()), ("file", pa.string()), ("target_id", pa.string()), ("specifier", pa.string()), ("name", pa.string()),
     ("via_member", pa.bool_()), ("recv_type", pa.string()), ("arg_count", pa.int32()), ("ord", pa.int32()),
 ])
+#: Characters of searchable text kept of a symbol and of the rest of its file.
+BODY_CHARS, RESIDUAL_CHARS = 5000, 16_000
 _DDL = {pa.string(): "string", pa.int32(): "int", pa.bool_(): "boolean"}
 
 
+def search_body(text: str, most: int = BODY_CHARS) -> str:
+    return " ".join(text.split())[:most]
+
+
 class Rows:
     """Rows of one file, with ids minted in document order."""
 
@@ -49,9 +55,17 @@ class Rows:
     def add(self, base: str, name: str, kind: str, owner: str | None, start: int, end: int, signature: str | None = None, exported: bool = True, arity: int | None = None, variadic: bool | None = None) -> str:
         body = "\n".join(self.lines[start - 1 : end])
         new = self.mint(base)
-        self.nodes.append(dict(id=new, name=name, kind=kind, owner=owner, path=self.path, start_line=start, end_line=end, signature=signature, exported=exported, origin=self.origin, body_hash=hashlib.sha256(body.encode("utf-8", "replace")).hexdigest(), chars=len(body), arity=arity, variadic=variadic))
+        self.nodes.append(dict(id=new, name=name, kind=kind, owner=owner, path=self.path, start_line=start, end_line=end, signature=signature, exported=exported, origin=self.origin, body_hash=hashlib.sha256(body.encode("utf-8", "replace")).hexdigest(), chars=len(body), body_text=search_body(body), arity=arity, variadic=variadic))
         return new
 
+    def close(self) -> Rows:
+        """The file row gets the text of the lines in no symbol's span."""
+        inside = [False] * (len(self.lines) + 1)
+        for n in self.nodes[1:]:
+            inside[n["start_line"] : n["end_line"] + 1] = [True] * (n["end_line"] + 1 - n["start_line"])
+        self.nodes[0]["body_text"] = search_body(" ".join(line for i, line in enumerate(self.lines, 1) if not inside[i]), RESIDUAL_CHARS)
+        return self
+
     def link(self, source: str, relation: str, **what) -> None:
         self.edges.append(dict.fromkeys(EDGE.names) | dict(source=source, relation=relation, file=self.path, ord=len(self.edges)) | what)
 
@@ -183,12 +197,12 @@ def extract_file(path: str, text: str) -> Rows:
         try:
             tree = ast.parse(text)
         except (SyntaxError, ValueError, RecursionError):
-            return rows
+            return rows.close()
         _Python(rows).visit(tree)
-        return rows
+        return rows.close()
     rows = Rows(path, text, "pattern")
     _breadth(rows, text)
-    return rows
+    return rows.close()
 
 
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:

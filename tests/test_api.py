@@ -36,6 +36,21 @@ def test_ask(index):
     assert 0 < c.coverage < 1 and c.strong == c.coverage
 
 
+def test_ask_finds_words_of_bodies(spark):
+    source = "# jitter of the fleet\nLIMIT = 3\n\n\ndef wait(n):\n    # exponential backoff\n    return n * 2\n\n\ndef other():\n    return 1\n"
+    files = spark.createDataFrame([("a.py", source), ("b.go", "package b\n// quorum\nfunc Run() {\n  lease(1)\n}\n"), ("bad.py", "def (\nzygote")], "path string, text string")
+    index = Index(*extract.build(files), files)
+    bodies = {r.id: r.body_text for r in index.nodes.collect()}
+    assert bodies["a.py"] == "# jitter of the fleet LIMIT = 3" and bodies["a.py#wait"] == "def wait(n): # exponential backoff return n * 2"
+    assert bodies["b.go"] == "package b // quorum" and bodies["b.go#Run"] == "func Run() { lease(1) }" and bodies["bad.py"] == "def ( zygote"
+    assert [r.id for r in index.ask("backoff", graph_rank=False).collect()] == ["a.py#wait"]
+
+
+def test_long_bodies_are_cut():
+    rows = extract.extract_file("x.py", "A = 1\n" * 9000 + "def f():\n" + "    x = 1\n" * 3000)
+    assert [len(r["body_text"]) for r in rows.nodes] == [16_000, 5000]
+
+
 def test_skeleton_grep_map(index):
     assert [r.name for r in index.skeleton("use.py").collect()] == ["total", "report", "area"]
     got = [(r.path, r.symbol, [h.line for h in r.hits]) for r in index.grep("needle", ignore_case=True).collect()]
