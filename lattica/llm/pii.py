@@ -86,16 +86,17 @@ def _iban_remainder(text: str) -> int:
 MONTHS = {m: i for i, m in enumerate("january february march april may june july august september october november december".split(), 1)}
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
+#: A card may stand among other numbers: whole groups of digits, 19 digits at most, and cut shorter where they fail.
+_CARD = r"(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![0-9A-Za-z_])"
 #: Alternatives are tried from left to right at each place, the most specific first.
-NUMBERS = re.compile(
+_NUMBERS = (
     r"(?<![0-9A-Za-z_])(?:"
     r"(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?)(?![0-9A-Za-z_])"
     r"|(?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?![0-9A-Za-z_]|\.[0-9])"
-    r"|(?P<iso>[0-9]{4}([-/.])[0-9]{1,2}\4[0-9]{1,2})(?![0-9A-Za-z_]|[-/.][0-9])"
+    r"|(?P<iso>[0-9]{4}([-/.])[0-9]{1,2}\4[0-9]{1,2})(?!(?![Tt][0-9])[0-9A-Za-z_]|[-/.][0-9])"
     r"|(?P<dmy>[0-9]{1,2}([-/.])[0-9]{1,2}\6[0-9]{4})(?![0-9A-Za-z_]|[-/.][0-9])"
     r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z_]|-[0-9])"
-    r"|(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![0-9A-Za-z_]|[ -][0-9])"
-    r"|(?P<run>[0-9]{13,19})(?![0-9A-Za-z_])"
+    r"|<card>"
     r"|(?P<phone>(?:\(?[0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z_]|-[0-9])"
     r"|(?P<named>[0-9]{1,2}(?:st|nd|rd|th)? (?i:january|february|march|april|may|june|july|august|september|october|november|december),? [0-9]{4})(?![0-9A-Za-z_])"
     r")"
@@ -104,10 +105,23 @@ NUMBERS = re.compile(
     r"|(?P<secret>(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|key)\b)\s*[=:]\s*[\"']?[A-Za-z0-9+/_-]{16,}[\"']?)"
     r"|(?P<cloud>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b)"
 )
+NUMBERS = re.compile(_NUMBERS.replace("<card>", _CARD))
+_BUT_CARDS = re.compile(_NUMBERS.replace("|<card>", ""))
+_AT_CARD = re.compile(r"(?<![0-9A-Za-z_])" + _CARD)
+#: Digits a group as cards are printed; other groupings count only where nothing else is found.
+_PRINTED = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3))
 EMAIL = re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+")
 _ANY = re.compile(r"[0-9]|(?i:token|secret|passw|key)|A[KS]IA")
 
 
+def _cuts(text: str) -> Iterator[str]:
+    """The text, then shorter and shorter beginnings of whole groups."""
+    yield text
+    for i in range(len(text) - 1, 0, -1):
+        if text[i] in " -":
+            yield text[:i]
+
+
 class Pseudonymizer:
     """Finds and replaces; one instance a task, so that permutations are set up once."""
 
@@ -237,31 +251,62 @@ class Pseudonymizer:
         self.count += 1
         return f"{self.letters('mail', local)}@{self.letters('host', host)}{dot}{top}"
 
-    def number(self, m: re.Match) -> str:
-        kind, text = m.lastgroup, m.group()
-        if kind == "card":
-            new = self.card(text)
-        elif kind in ("iso", "dmy", "named", "us"):
-            new = self.date(text, {"iso": "ymd", "dmy": "dmy", "named": "dmy", "us": "mdy"}[kind])
-        elif kind == "run":
-            new = self.card(text)
-        elif kind in ("phone", "intl"):
-            new = self.phone(text)
-        elif kind == "cloud":
-            new = text[:4] + self.letters("cloud", text[4:])
-        else:
-            new = getattr(self, kind)(text)
-        if new is None:
-            if kind == "card" and re.search(r"[ -]", text):  # numbers that only stand side by side: each for itself
-                return re.sub(r"[0-9]+", lambda d: self.number_alone(d.group()), text)
-            return text
-        self.count += 1
-        return new
+    def printed(self, text: str, start: int) -> tuple[int, str] | None:
+        """End and replacement of the card that starts at ``start`` in one group or in groups as cards are printed."""
+        m = _AT_CARD.match(text, start)
+        for part in _cuts(m.group()) if m else ():
+            sizes = tuple(len(g) for g in re.split("[ -]", part))
+            if (len(sizes) == 1 or sizes in _PRINTED) and (new := self.card(part)) is not None:
+                return start + len(part), new
+        return None
 
-    def number_alone(self, text: str) -> str:
-        new = self.card(text)
-        self.count += new is not None
-        return text if new is None else new
+    def other(self, text: str, start: int) -> tuple[int, str] | None:
+        """End and replacement of a valid value at ``start`` that is no card."""
+        m = _BUT_CARDS.match(text, start)
+        new = self.value(m.lastgroup, m.group()) if m else None
+        return None if new is None else (m.end(), new)
+
+    def card_or_other(self, text: str, m: re.Match) -> tuple[int, str | None]:
+        """End and replacement of what starts with these digits, or the end of the first group and None."""
+        start, whole = m.span()
+        if found := self.printed(text, start):
+            return found
+        if found := self.other(text, start):
+            return found
+        groups = [start + g.start() for g in re.finditer("[0-9]+", text[start:whole])]
+        if not any(self.printed(text, g) or self.other(text, g) for g in groups[1:]):
+            for part in _cuts(m.group()):
+                if (new := self.card(part)) is not None:
+                    return start + len(part), new
+        return start + re.match("[0-9]+", m.group()).end(), None
+
+    def value(self, kind: str, text: str) -> str | None:
+        if kind in ("iso", "dmy", "named", "us"):
+            return self.date(text, {"iso": "ymd", "dmy": "dmy", "named": "dmy", "us": "mdy"}[kind])
+        if kind in ("phone", "intl"):
+            return self.phone(text)
+        if kind == "cloud":
+            return text[:4] + self.letters("cloud", text[4:])
+        return getattr(self, kind)(text)
+
+    def numbers(self, text: str) -> str:
+        out, done, at = [], 0, 0
+        while m := NUMBERS.search(text, at):
+            start, at = m.span()
+            if m.lastgroup == "card":
+                at, new = self.card_or_other(text, m)
+            elif m.lastgroup == "iban":
+                for part in _cuts(m.group()):  # the last part is the first group, which is no IBAN unless it is whole
+                    at, new = start + len(part), self.iban(part)
+                    if new is not None:
+                        break
+            else:
+                new = self.value(m.lastgroup, m.group())
+            if new is not None:
+                out += text[done:start], new
+                done = at
+                self.count += 1
+        return "".join(out) + text[done:]
 
     def __call__(self, text: str | None) -> tuple[str | None, int]:
         """The text with its values replaced, and how many there were."""
@@ -271,7 +316,7 @@ class Pseudonymizer:
         if "@" in text:
             text = EMAIL.sub(self.email, text)
         if _ANY.search(text):
-            text = NUMBERS.sub(self.number, text)
+            text = self.numbers(text)
         return text, self.count
 
 

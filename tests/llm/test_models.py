@@ -129,6 +129,25 @@ def test_invalid_values_stay():
         assert pii.Pseudonymizer()(text) == (text, 0)
 
 
+def test_values_beside_numbers_and_capitals_are_found():
+    work = pii.Pseudonymizer()
+    card, iban, phone = "4111 1111 1111 1111", "BE68 5390 0754 7034", "555-123-4567"
+    for value in (card, card.replace(" ", "-"), card.replace(" ", ""), "3782 822463 10005", iban, iban.replace(" ", ""), phone):
+        new = work(value)[0]
+        assert new != value
+        for before, after in (("", " 12/25"), ("", " 123"), ("12 ", ""), ("12/25 ", " 7 8 9"), ("", " 5500 0055 5555 555a")):
+            assert work(before + value + after) == (before + new + after, 1), (before, value, after)
+    for after in (" BIC", " SWIFT", " KREDBEBB", " ABCD EFG", " BIC KREDBEBB"):
+        assert work(iban + after) == (work(iban)[0] + after, 1)
+    two = [card, "5500 0055 5555 5559"]
+    assert work(" ".join(two)) == (" ".join(work(t)[0] for t in two), 2)
+    assert work(f"{phone} {card} 123-45-6789") == (" ".join(work(t)[0] for t in (phone, card, "123-45-6789")), 3)
+    assert work(f"{phone} 555-987-6543")[1] == 2
+    assert work("2021-03-04T10:00:00Z") == (work("2021-03-04")[0] + "T10:00:00Z", 1)
+    for text in ("2021-03-04Tx", "4111 1111 1111 1112 12", "1 " * 5000):
+        assert work(text) == (text, 0)
+
+
 def test_pseudonyms_are_one_to_one():
     work = pii.Pseudonymizer()
     days = {work((dt.date(1980, 1, 1) + dt.timedelta(days=i)).isoformat())[0] for i in range(2000)}
