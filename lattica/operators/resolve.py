@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators.joins import first_candidate, first_rows, unique_match
+from lattica.operators.joins import first_candidate, first_rows, longest_prefix_join, prefixes, unique_match
 
 EXTENSIONS = tuple(f".{e}" for e in "ts tsx js jsx mjs cjs py go java".split())
 
@@ -33,6 +37,75 @@ def resolve_imports(raw: DataFrame, files: DataFrame) -> DataFrame:
     return first_candidate(raw.withColumn("_c", import_candidates(F.col("specifier"), F.col("file"))), ["ord"], "_c", files)
 
 
+_SCRIPTS = tuple(f".{e}" for e in "ts tsx mts cts js jsx mjs cjs py".split())
+_C_FILE = re.compile(r"\.(c|h|cc|cpp|cxx|hpp|hh|hxx|inl|ipp|c\+\+|h\+\+)$", re.I)
+
+
+def import_wants(specifier: str, file: str, crate: str | None) -> list[list[str]]:
+    """What an import may mean, level by level: ``/path`` is a whole path, anything else the tail of one.
+
+    The first level with a file decides, if a single file is there. ``crate`` is the root of the Rust
+    crate that holds the file, or None.
+    """
+    at = lambda *parts: "/" + posixpath.normpath(posixpath.join(*parts)).lstrip("/")
+    here, end = posixpath.dirname(file), posixpath.splitext(file)[1]
+    if end == ".py":
+        dots = len(specifier) - len(specifier.lstrip("."))
+        if not dots:
+            return []
+        base = posixpath.join(here, *[".."] * (dots - 1), *filter(None, specifier[dots:].split(".")))
+        if posixpath.normpath(base).startswith(".."):
+            return []
+        return [*([[at(base) + ".py"]] if specifier[dots:] else []), [at(base, "__init__.py")]]
+    if end == ".java":
+        parts = specifier.split(".")
+        return [["/".join(p) + ".java"] for p in (parts, parts[:-1]) if all(p) and p]
+    if end == ".php":
+        parts = [p for p in specifier.split("\\") if p]
+        return [["/".join(parts[i:]) + ".php"] for i in range(len(parts))]
+    if end == ".rs":
+        head, *parts = [p for p in specifier.split("::") if p] or [""]
+        if head != "crate" or crate is None:
+            return []
+        levels = [[at(crate, *parts[:k]) + ".rs", at(crate, *parts[:k], "mod.rs")] for k in range(len(parts), 0, -1)]
+        return levels + ([[at(crate, "lib.rs"), at(crate, "main.rs")]] if len(parts) < 2 else [])
+    whole = posixpath.normpath(posixpath.join(here, specifier))
+    if _C_FILE.search(file):
+        return [*([] if whole.startswith("..") else [[at(whole)]]), [re.sub(r"^\.?/", "", specifier)]]
+    if not specifier.startswith(".") or whole.startswith(".."):
+        return []
+    bare = re.sub(r"\.(js|jsx|mjs|cjs|ts|tsx|py)$", "", whole)
+    return [[at(whole)], *([at(bare) + e] for e in _SCRIPTS), *([at(bare, f"index{e}")] for e in _SCRIPTS)]
+
+
+def build_imports(raw: DataFrame, files: DataFrame, modules: DataFrame) -> DataFrame:
+    """``(ord, target)`` of the imports ``raw(ord, file, specifier)`` that name one of ``files(id)``.
+
+    ``modules(module, dir)`` are the Go modules: the longest that begins the specifier decides, and the
+    package's first file stands for it.
+    """
+    roots = files.where(F.col("id").rlike("(^|/)(lib|main)\\.rs$")).select(F.regexp_replace("id", "/?(lib|main)\\.rs$", "").alias("prefix")).distinct()
+    owned = longest_prefix_join(raw, "file", roots).join(roots.withColumnRenamed("prefix", "crate"), F.col("scope") == F.col("crate"), "left")
+
+    @F.pandas_udf("array<array<string>>")
+    def wants(specifier: pd.Series, file: pd.Series, crate: pd.Series) -> pd.Series:
+        return pd.Series([import_wants(s, f, c if isinstance(c, str) else None) for s, f, c in zip(specifier, file, crate)], dtype=object)
+
+    levels = owned.where("file NOT LIKE '%.go'").select("ord", "file", F.posexplode(wants("specifier", "file", "crate")).alias("_level", "_some"))
+    wanted = levels.select("ord", "file", "_level", F.explode("_some").alias("_want"))
+    keys = files.select(F.col("id").alias("_id"), F.explode(F.concat(F.array(F.concat(F.lit("/"), "id")), suffixes(F.col("id")))).alias("_key"))
+    hit = wanted.join(keys, F.col("_want") == F.col("_key")).groupBy("ord", "file", "_level").agg(F.count_distinct("_id").alias("_n"), F.min("_id").alias("_one"))
+    # An ambiguous Java type leaves the enclosing one to try; everywhere else it ends the search.
+    hit = hit.where("_n = 1 OR file NOT LIKE '%.java'")
+    found = hit.groupBy("ord").agg(F.min_by(F.struct("_n", "_one"), "_level").alias("_b")).where("_b._n = 1").select("ord", F.col("_b._one").alias("target"))
+    begun = raw.where("file LIKE '%.go'").select("ord", "specifier", F.explode(prefixes(F.col("specifier"))).alias("_m")).join(modules, F.col("_m") == F.col("module"))
+    best = begun.groupBy("ord", "specifier").agg(F.max_by(F.struct("module", "dir"), F.length("module")).alias("_b"))
+    rest = F.expr("substring(specifier, length(_b.module) + 2)")
+    packages = best.select("ord", F.concat_ws("/", F.nullif("_b.dir", F.lit("")), F.nullif(rest, F.lit(""))).alias("_dir"))
+    first = files.where("id LIKE '%.go'").groupBy(F.regexp_replace("id", "/?[^/]*$", "").alias("_dir")).agg(F.min("id").alias("target"))
+    return found.unionByName(packages.join(first, "_dir").select("ord", "target"))
+
+
 def suffixes(path: Column) -> Column:
     parts = F.split(path, "/")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
@@ -67,11 +140,16 @@ def ancestors(heritage: DataFrame, levels: int = 3) -> DataFrame:
 
 
 def typed_members(raw: DataFrame, members: DataFrame, heritage: DataFrame) -> DataFrame:
-    """``(ord, target)`` of calls on a known receiver type; the nearest level decides, several targets there drop the call."""
+    """``(ord, target)`` of calls on a known receiver type; the nearest level decides, several targets there drop the call.
+
+    Where ``members`` carry ``arity`` and ``variadic``, those that take the call's ``arg_count`` are preferred.
+    """
     up = ancestors(heritage).unionByName(members.select(F.col("owner").alias("type"), F.col("owner").alias("ancestor"), F.lit(0).alias("depth")).distinct())
-    m = members.select(F.col("owner").alias("_owner"), F.col("name").alias("_name"), F.col("id").alias("_id"))
+    m = members.select(F.col("owner").alias("_owner"), F.col("name").alias("_name"), F.col("id").alias("_id"), *[F.col(c) for c in ("arity", "variadic") if c in members.columns])
     hit = raw.join(up, raw["recv_type"] == up["type"]).join(m, (F.col("ancestor") == F.col("_owner")) & (raw["name"] == F.col("_name")))
     nearest = hit.withColumn("_least", F.min("depth").over(Window.partitionBy("ord"))).where("depth = _least")
+    if "arity" in members.columns:
+        nearest = narrow_by_arity(nearest)
     return nearest.groupBy("ord").agg(F.count_distinct("_id").alias("_n"), F.min("_id").alias("target")).where("_n = 1").select("ord", "target")
 
 

@@ -79,7 +79,8 @@ class _Python(ast.NodeVisitor):
         dotted = ".".join([*self.names, node.name])
         head = " ".join(self.rows.lines[node.lineno - 1].split()).rstrip(":").strip()
         args = getattr(node, "args", None)
-        count = len(args.posonlyargs) + len(args.args) - bool(owner) if args else None
+        fixed = args and not args.defaults and not any(d is None for d in args.kw_defaults)  # with defaults several counts fit: unknown
+        count = len(args.posonlyargs) + len(args.args) - bool(owner) if fixed else None
         new = self.rows.add(f"{self.rows.path}#{dotted}", node.name, kind, owner, node.lineno, node.end_lineno, head, not node.name.startswith("_"), count, bool(args.vararg) if args else None)
         self.rows.link(parent, "contains", target_id=new)
         for base in getattr(node, "bases", ()):
@@ -119,12 +120,15 @@ class _Python(ast.NodeVisitor):
 
     def visit_ImportFrom(self, node):
         self.rows.link(self.rows.path, "imports", specifier="." * node.level + (node.module or ""))
+        for alias in node.names if node.level and not node.module else ():  # each may be a module beside this one
+            if alias.name != "*":
+                self.rows.link(self.rows.path, "imports", specifier="." * node.level + alias.name)
 
     def visit_Call(self, node):
         if name := _last(node.func):
             member = isinstance(node.func, ast.Attribute)
             receiver = node.func.value.id if member and isinstance(node.func.value, ast.Name) else None
-            self.rows.link(self.scope[-1][0], "calls", name=name, via_member=member, recv_type=self.types[-1].get(receiver), arg_count=len(node.args))
+            self.rows.link(self.scope[-1][0], "calls", name=name, via_member=member, recv_type=self.types[-1].get(receiver), arg_count=None if node.keywords or any(isinstance(a, ast.Starred) for a in node.args) else len(node.args))
         self.generic_visit(node)
 
 
@@ -142,7 +146,13 @@ _DEFINES = re.compile(
 _KINDS = {"class": "class", "object": "class", "interface": "interface", "struct": "struct", "enum": "enum", "trait": "trait", "module": "module", "namespace": "module", "type": "type"}
 _CALL = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*\(")
 _NOT_CALLED = frozenset("if for while switch return catch function func fn def fun sub sizeof elif match with new throw await typeof and or not in is".split())
-_BROUGHT = re.compile(r"^[ \t]*(?:#include\s*[<\"]([^>\"]+)|use\s+([\w:\\]+)|import\s+[^\n]*?from\s+['\"]([^'\"]+)|import\s+['\"]?([\w./]+)|require\(['\"]([^'\"]+))", re.M)
+_BROUGHT = re.compile(
+    r"^[ \t]*(?:#include\s*[<\"]([^>\"\n]+)|(?:pub(?:\([^)\n]*\))?\s+)?use\s+([\w:\\]+)|(?:import|export)\s+[\w\s{},*$]*?\bfrom\s+['\"]([^'\"\n]+)|import\s+(?:[\w.]+\s+)?[\"']([^'\"\n]+)|import\s+(?:static\s+)?([\w.]+))"
+    r"|(?<![\w$.])require\(\s*['\"]([^'\"\n]+)",
+    re.M,
+)
+_GO_BLOCK, _QUOTED = re.compile(r"^import\s*\(([^)]*)\)", re.M), re.compile(r"^\s*(?:[\w.]+\s+)?\"([^\"\n]+)\"", re.M)
+_HERITAGE = re.compile(r"\b(extends|implements)\s+([\w.$\\\s,]+?)(?=\bextends\b|\bimplements\b|\bpermits\b|$)")
 
 
 def _breadth(rows: Rows, text: str) -> None:
@@ -161,6 +171,14 @@ def _breadth(rows: Rows, text: str) -> None:
         heads.add(m.start("name"))
         spans.append((start, end, rows.add(f"{rows.path}#{m['name']}", m["name"], kind, None, start, end, " ".join(m.group().split()))))
         rows.link(rows.path, "contains", target_id=spans[-1][2])
+        if kind in ("class", "interface", "struct", "enum"):
+            header = re.split(r"[{;]", text[m.end() : m.end() + 1000], maxsplit=1)[0]
+            while (flat := re.sub(r"<[^<>]*>", " ", header)) != header:
+                header = flat
+            for relation, names in _HERITAGE.findall(header.strip()):
+                for name in names.split(","):
+                    if name := re.split(r"[.\\]", name.strip())[-1]:
+                        rows.link(spans[-1][2], relation, name=name)
     for m in _CALL.finditer(text):
         if m[1] not in _NOT_CALLED and m.start(1) not in heads:
             line = at(m.start(1))
@@ -168,6 +186,9 @@ def _breadth(rows: Rows, text: str) -> None:
             rows.link(min(inside, key=lambda s: s[1] - s[0])[2] if inside else rows.path, "calls", name=m[1], via_member=False)
     for m in _BROUGHT.finditer(text):
         rows.link(rows.path, "imports", specifier=next(g for g in m.groups() if g))
+    for block in _GO_BLOCK.finditer(text) if rows.path.endswith(".go") else ():
+        for m in _QUOTED.finditer(block[1]):
+            rows.link(rows.path, "imports", specifier=m[1])
 
 
 def _block_end(lines: list[str], start: int) -> int:
@@ -222,24 +243,32 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts.mapInArrow(run(NODE, "nodes"), ddl(NODE)), texts.mapInArrow(run(EDGE, "edges"), ddl(EDGE))
 
 
-def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, edges)``: extraction, then resolution by the rule of one target or none."""
-    from lattica.operators.resolve import first_edges, resolve_names, typed_members
+def build(files: DataFrame, modules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, edges)``: extraction, then resolution by the rule of one target or none.
+
+    ``modules(module, dir)`` are the Go modules; by default those of the ``go.mod`` among ``files``.
+    """
+    from lattica.operators.resolve import build_imports, first_edges, resolve_names, typed_members
+    from lattica.sources.files import go_modules
 
     nodes, raw = extract(files)
     numbered = raw.withColumn("ord", F.xxhash64("file", "ord"))
     position = F.struct("path", "start_line", "id")
-    symbols = nodes.where("kind <> 'file'").select("id", "name", F.col("path").alias("file"), position.alias("pos"), "owner", "kind")
+    symbols = nodes.where("kind <> 'file'").select("id", "name", F.col("path").alias("file"), position.alias("pos"), "owner", "kind", "arity", "variadic")
     fixed = numbered.where("target_id IS NOT NULL").select("ord", "source", "relation", F.col("target_id").alias("target"), F.lit("extracted").alias("confidence"))
     classes = symbols.where("kind IN ('class', 'interface', 'struct', 'trait')")
     heritage = numbered.where("relation IN ('extends', 'implements')")
-    known = resolve_names(heritage.select("ord", "file", "name"), classes)
+    extended = resolve_names(heritage.where("relation = 'extends'").select("ord", "file", "name"), classes)
+    known = extended.unionByName(resolve_names(heritage.where("relation = 'implements'").select("ord", "file", "name"), symbols.where("kind IN ('interface', 'trait')")))
     bases = heritage.join(known, "ord", "left").select("ord", "source", "relation", F.coalesce("target", "name").alias("target"), F.coalesce("confidence", F.lit("inferred")).alias("confidence"))
     calls = numbered.where("relation = 'calls'")
-    lines = heritage.join(nodes.select(F.col("id").alias("source"), F.col("name").alias("type")), "source").select("type", F.col("name").alias("parent"))
-    typed = typed_members(calls.where("recv_type IS NOT NULL").select("ord", "recv_type", "name"), symbols.where("owner IS NOT NULL"), lines)
+    lines = heritage.where("relation = 'extends'").join(nodes.select(F.col("id").alias("source"), F.col("name").alias("type")), "source").select("type", F.col("name").alias("parent"))
+    typed = typed_members(calls.where("recv_type IS NOT NULL").select("ord", "recv_type", "name", "arg_count"), symbols.where("owner IS NOT NULL"), lines)
     plain = resolve_names(calls.where("NOT via_member").select("ord", "file", "name"), symbols.where("owner IS NULL"))
     called = calls.select("ord", "source", "relation").join(plain.unionByName(typed.withColumn("confidence", F.lit("extracted"))), "ord")
-    imports = numbered.where("relation = 'imports'").select("ord", "source", "relation", F.col("specifier").alias("target"), F.lit("inferred").alias("confidence"))
+    brought = numbered.where("relation = 'imports'")
+    inside = build_imports(brought.select("ord", "file", "specifier"), nodes.where("kind = 'file'").select("id"), go_modules(files) if modules is None else modules)
+    confidence = F.when(F.col("target").isNull(), "inferred").otherwise("extracted")
+    imports = brought.join(inside, "ord", "left").select("ord", "source", "relation", F.coalesce("target", "specifier").alias("target"), confidence.alias("confidence"))
     every = fixed.unionByName(bases).unionByName(called).unionByName(imports)
     return nodes, first_edges(every).select("source", "target", "relation", "confidence")

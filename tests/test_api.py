@@ -51,6 +51,30 @@ def test_long_bodies_are_cut():
     assert [len(r["body_text"]) for r in rows.nodes] == [16_000, 5000]
 
 
+def test_imports_end_at_files(spark):
+    tree = {
+        "web/util.ts": "export function pad(n) {\n}\n", "web/a.ts": "import { pad } from './util'\n", "web/in/b.ts": "import {\n  pad,\n} from '../util.js'\nimport x from 'react'\n", "web/in/c.js": "const u = require('..//util')\n",
+        "p/__init__.py": "", "p/m.py": "", "p/q/n.py": "from ..m import x\nfrom .. import m\nimport os\n",
+        "j/src/com/acme/Foo.java": "class Foo {\n}\n", "j/B.java": "import static com.acme.Foo.bar;\nclass B implements Runs, Stops<A> {\n}\n", "j/Runs.java": "interface Runs {\n}\n",
+        "c/inc/net/s.h": "", "c/a.c": "#include \"net/s.h\"\n#include <stdio.h>\n", "h/Models/User.php": "", "h/x.php": "use App\\Models\\User;\n",
+        "r/src/lib.rs": "use crate::net::Conn;\n", "r/src/net/mod.rs": "use crate::nowhere::deep::X;\n",
+        "g/go.mod": "module ex.org/app\n", "g/u/a.go": "package u\n", "g/u/b.go": "package u\n", "g/main.go": "import (\n  \"fmt\"\n  \"ex.org/app/u\"\n)\n",
+        "t/x.py": "class K:\n    def f(self, a):\n        pass\n", "t/y.py": "class K:\n    def f(self, a, b):\n        pass\n", "t/z.py": "def go(k: K):\n    k.f(1)\n",
+    }
+    nodes, edges = extract.build(spark.createDataFrame(list(tree.items()), "path string, text string").cache())
+    edges = edges.cache()
+    got = {(r.source, r.target) for r in edges.where("relation = 'imports'").collect()}
+    inside = {
+        ("web/a.ts", "web/util.ts"), ("web/in/b.ts", "web/util.ts"), ("web/in/c.js", "web/util.ts"), ("p/q/n.py", "p/m.py"), ("p/q/n.py", "p/__init__.py"), ("j/B.java", "j/src/com/acme/Foo.java"),
+        ("c/a.c", "c/inc/net/s.h"), ("h/x.php", "h/Models/User.php"), ("r/src/lib.rs", "r/src/net/mod.rs"), ("g/main.go", "g/u/a.go"),
+    }
+    assert got == inside | {("web/in/b.ts", "react"), ("p/q/n.py", "os"), ("c/a.c", "stdio.h"), ("r/src/net/mod.rs", "crate::nowhere::deep::X"), ("g/main.go", "fmt")}
+    others = {(r.source, r.relation, r.target) for r in edges.where("relation IN ('calls', 'implements')").collect()}
+    assert others == {("j/B.java#B", "implements", "j/Runs.java#Runs"), ("j/B.java#B", "implements", "Stops"), ("t/z.py#go", "calls", "t/x.py#K.f")}
+    ranges = spark.createDataFrame([("p/m.py", 1, 1)], "path string, start int, end int")
+    assert {r.id for r in Index(nodes, edges).blast(ranges, 1).collect()} == {"p/q/n.py"}
+
+
 def test_skeleton_grep_map(index):
     assert [r.name for r in index.skeleton("use.py").collect()] == ["total", "report", "area"]
     got = [(r.path, r.symbol, [h.line for h in r.hits]) for r in index.grep("needle", ignore_case=True).collect()]
