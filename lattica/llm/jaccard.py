@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.textkernel import shingle_sets, slices
@@ -282,25 +282,36 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
 
 
 def redundant(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
-    """``(doc_id)`` of all documents but the least id of each group that the pairs connect."""
-    members, pairs = node_pairs(docs, threshold, target)
-    grouped = members.join(components(pairs), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    return grouped.join(least, "root").where("doc_id <> least").select("doc_id").distinct()
+    """``(key)`` of all rows but one of each group that the pairs connect, the one with the least id.
+
+    A row's key is the hash of its id and text, so that an id with several texts takes part with each.
+    """
+    keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(row_key().alias("key"), F.col("doc_id").alias("id"), "text")
+    members, pairs = node_pairs(keyed.select(F.col("key").alias("doc_id"), "text"), threshold, target)
+    ids = keyed.select("key", "id").distinct()
+    grouped = members.withColumnRenamed("doc_id", "key").join(components(pairs), "node", "left").select("key", F.coalesce("root", "node").alias("root")).join(ids, "key")
+    least = grouped.groupBy("root").agg(F.min(F.struct("id", "key")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    return grouped.join(least, "root").where("key <> least.key").select("key").distinct()
+
+
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
-    """``docs`` with one document of each group of near copies, the one with the least id.
+    """``docs`` with one row of each group of near copies, the one with the least id.
 
-    An id is one document, whatever rows repeat it: rows with the same id and text become one, and a
-    redundant id goes with all its rows. Rows with a null id are compared by their whole text only;
-    null and wordless texts are kept. All columns stay, whatever their names.
+    Rows with the same id and text become one. An id that is repeated with different texts takes part with
+    each of them, and loses only those of which another copy stays. Rows with a null id are compared by
+    their whole text only; null and wordless texts are kept. All columns stay, whatever their names.
     """
-    gone = stored(redundant(docs, threshold, target)).withColumnRenamed("doc_id", id_ := fresh_name(docs.columns, "_gone"))
+    gone = stored(redundant(docs, threshold, target))
+    key = fresh_name(docs.columns, "_key")
+    gone = gone.withColumnRenamed("key", gone_ := fresh_name([*docs.columns, key], "_gone"))
     rank = fresh_name(docs.columns, "_rank")
-    rest = docs.join(gone, F.col("doc_id") == F.col(id_), "left_anti")
-    # The join leaves the rows hashed by id, which is all that this window needs.
-    return rest.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(0)))).where(F.col(rank) == 1).drop(rank)
+    rest = docs.withColumn(key, row_key()).join(gone, F.col(key) == F.col(gone_), "left_anti")
+    # The join leaves the rows hashed by key, which is all that this window needs.
+    return rest.withColumn(rank, F.row_number().over(Window.partitionBy(key, "doc_id", "text").orderBy(F.lit(0)))).where(F.col(rank) == 1).drop(rank, key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,13 @@ def test_long_text_and_empty_table(spark):
     assert jaccard.one_of_each(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_one_of_each_keeps_every_text_of_repeated_ids(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(5, one), (9, one), (3, two), (5, two + " more"), (None, two), (None, two), (None, None), (8, ""), (5, one)]
+    kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(kept, key=str) == sorted([(5, one), (3, two), (None, two), (None, None), (8, "")], key=str)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (30, 22), (22, 31)]
     df = spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long")
