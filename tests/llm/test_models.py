@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -61,27 +62,53 @@ def test_toxicity_on_held_out_documents(labelled):
     assert out[out.y == 0].toxic.mean() < 0.02
 
 
-def test_toxicity_skips_only_words_that_cannot_be_near(labelled):
+def test_toxicity_scores_every_window_as_brute_force(labelled):
     docs, labels = labelled
-    sets = [(set(toxicity.words_of(r.text)), r.toxic) for r in docs.join(labels, "doc_id").where("doc_id < 3000").select("text", "toxic").collect()]
-    model = toxicity.build([s for s, y in sets if y], [s for s, y in sets if not y])
-    every = set().union(*(s for s, _ in sets))
+    model = toxicity.train(docs, labels)
+    rows = docs.where("doc_id % 40 = 0").select("doc_id", "text", toxicity.scorer(model)(F.col("text")).alias("s")).collect()
+
+    def length(window, dictionary):
+        held = zstandard.ZstdCompressionDict(dictionary)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=toxicity._shape(len(dictionary))).compress(window))
+
+    found = 0
+    for r in rows[:120]:
+        words = [w for w in re.split(r"[\W_]+", r.text.lower()) if w]
+        near = []
+        for i in range(0, len(words), toxicity.WINDOW):
+            window = b"".join(toxicity.beginning_codes(w) for w in words[i : i + toxicity.WINDOW])
+            near.append(length(window, model.ordinary) - length(window, model.toxic) >= model.margin)
+        n = toxicity.STRETCH
+        assert r.s.share == pytest.approx(sum(near) / len(near) if near else 0.0)
+        assert r.s.stretch == max((sum(near[i : i + n]) for i in range(max(1, len(near) - n + 1))), default=0)
+        found += r.s.share >= model.share
+    assert found
 
-    class All:
-        def __contains__(self, _):
-            return True
 
-    assert model.windows(toxicity.MARGINS)(every) == model.windows(toxicity.MARGINS)(every, All())
+def test_toxicity_codes_follow_beginnings():
+    a, b = toxicity.beginning_codes("worthless"), toxicity.beginning_codes("worthy")
+    assert len(a) == 10 and a[:5] == b[:5] and a[5:7] != b[5:7]
+    assert toxicity.beginning_codes("") != toxicity.beginning_codes("a")[:1]
+    assert toxicity.Coder()(["ab", "c", "d"], 2) == [toxicity.beginning_codes("ab") + toxicity.beginning_codes("c"), toxicity.beginning_codes("d")]
 
 
 def test_toxicity_edge_cases(spark, labelled):
     docs, labels = labelled
-    odd = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "...", 1), (None, "trash idiot scum " * 30, 2), (4, "trash " + "w" * 900_000 + " idiot" * 50, 2)], "doc_id long, text string, share int")
-    assert [r.toxic for r in toxicity.detect(odd, labels.limit(0)).collect()] == [False] * 5
+    odd = spark.createDataFrame(
+        [(1, None, 1), (2, "", 1), (3, "...", 1), (None, "trash idiot scum " * 30, 2), (None, "trash idiot scum " * 30, 2), (4, "trash " + "w" * 900_000 + " idiot moron" * 50, 2)],
+        "doc_id long, text string, share int",
+    )
+    assert [r.toxic for r in toxicity.detect(odd, labels.limit(0)).collect()] == [False] * 6
+    got = toxicity.detect(odd, labels.where("doc_id < 0")).collect()
+    assert not any(r.toxic for r in got) and got[0].asDict().keys() == {"doc_id", "share", "stretch", "toxic"}
     model = toxicity.train(docs, labels)
     got = odd.select("doc_id", toxicity.scorer(model)(F.col("text")).alias("s")).collect()
-    assert {r.doc_id: r.s.stretch for r in got} == {1: 0, 2: 0, 3: 0, None: 90, 4: 51}
-    assert toxicity.measure(["a", "b"] * 3, {"a"}) == (0.5, 3)
+    assert {r.doc_id for r in got if r.s.share >= model.share} == {None, 4}
+    assert len({r.s for r in got if r.doc_id is None}) == 1
+    assert odd.limit(0).select(toxicity.scorer(model)(F.col("text"))).count() == 0
+    assert toxicity.detect(docs.limit(0), labels).count() == 0
+    assert toxicity.measure(np.array([True, False] * 3)) == (0.5, 3) and toxicity.measure(np.array([True] * 40)) == (1.0, toxicity.STRETCH)
+    assert toxicity.measure(np.zeros(0, bool)) == (0.0, 0)
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
