@@ -12,26 +12,43 @@ import datetime as dt
 import hashlib
 import math
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.runtime import ship
 
-KEY = b"lattica demonstration key: pass your own"
+#: The session setting that holds the key of the query and of the pipeline.
+KEY_CONF = "spark.lattica.pii.key"
 ROUNDS = 10
+#: Longer strings are permuted with arrays.
+MANY_PLACES = 48
+_DRAWN: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key in ``spark.lattica.pii.key``; where that is unset, one drawn at random for this application.
+
+    With a drawn key equal values are linked within the application only, and nobody can undo them.
+    """
+    own = spark.conf.get(KEY_CONF, None)
+    if own:
+        return own.encode()
+    return _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 class Feistel:
-    """Keyed permutation of range(size) with tweak ``label``; cycle walking keeps results in range."""
+    """Keyed permutation of range(size), a size of at most 2**128, with tweak ``label``; cycle walking keeps results in range."""
 
     def __init__(self, key: bytes, label: str, size: int):
         self.size = size
         self.left = math.isqrt(max(size - 1, 0)) + 1
         self.right = -(-size // self.left)
-        self.state = hashlib.blake2b(label.encode() + size.to_bytes(64, "big"), key=hashlib.sha256(key).digest(), digest_size=16)
+        self.state = hashlib.blake2b(label.encode() + size.to_bytes(64, "big"), key=hashlib.sha256(key).digest(), digest_size=24)
 
     def _round(self, i: int, half: int) -> int:
         h = self.state.copy()
@@ -69,6 +86,43 @@ class Feistel:
         return x
 
 
+class Places:
+    """Keyed permutation of the strings with given alphabets at their places, of any length, in linear time.
+
+    A Feistel network whose halves are the first and the second half of the places: each round adds a
+    keystream, made from the other half, to every place modulo its alphabet's size.
+    """
+
+    def __init__(self, key: bytes, label: str, sizes: list[int]):
+        self.sizes = sizes
+        self.cut = len(sizes) // 2
+        self.label = hashlib.sha256(key).digest() + label.encode() + b"|"
+
+    def _stream(self, i: int, other: bytes, n: int) -> bytes:
+        return hashlib.shake_256(self.label + b"%d:" % i + other).digest(8 * n)
+
+    def _run(self, values: list[int], rounds: Iterator[int], sign: int) -> list[int]:
+        many = len(values) > MANY_PLACES
+        halves = [bytes(values[: self.cut]), bytes(values[self.cut :])]
+        sizes = [self.sizes[: self.cut], self.sizes[self.cut :]]
+        for i in rounds:
+            own, other = halves[i % 2], halves[1 - i % 2]
+            stream = self._stream(i, other, len(own))
+            if many:
+                add = np.frombuffer(stream, ">u8") % np.array(sizes[i % 2], np.uint64)
+                moved = (np.frombuffer(own, np.uint8).astype(np.int64) + sign * add.astype(np.int64)) % np.array(sizes[i % 2], np.int64)
+                halves[i % 2] = moved.astype(np.uint8).tobytes()
+            else:
+                halves[i % 2] = bytes((v + sign * int.from_bytes(stream[8 * k : 8 * k + 8], "big")) % n for k, (v, n) in enumerate(zip(own, sizes[i % 2])))
+        return list(halves[0] + halves[1])
+
+    def encrypt(self, values: list[int]) -> list[int]:
+        return self._run(values, range(ROUNDS), 1)
+
+    def decrypt(self, values: list[int]) -> list[int]:
+        return self._run(values, reversed(range(ROUNDS)), -1)
+
+
 def luhn_digit(body: str) -> str:
     total = 0
     for i, ch in enumerate(reversed(body)):
@@ -84,6 +138,7 @@ def _iban_remainder(text: str) -> int:
 
 
 MONTHS = {m: i for i, m in enumerate("january february march april may june july august september october november december".split(), 1)}
+#: Days of these years stay among themselves, and so do all other days.
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 #: A card may stand among other numbers: whole groups of digits, 19 digits at most, and cut shorter where they fail.
@@ -110,7 +165,11 @@ _BUT_CARDS = re.compile(_NUMBERS.replace("|<card>", ""))
 _AT_CARD = re.compile(r"(?<![0-9A-Za-z_])" + _CARD)
 #: Digits a group as cards are printed; other groupings count only where nothing else is found.
 _PRINTED = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3))
-EMAIL = re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+")
+#: A mailbox is sought from its @, forwards for the host and backwards for the local part, so that long runs cost no more than once.
+_HOST = re.compile(r"[\w-]+(?:\.[\w-]+)+")
+_LOCAL = re.compile(r"[\w.+%-]+")
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_ALPHABET = {c: (a, i) for a in (_DIGITS, _LOWER, _UPPER) for i, c in enumerate(a)}
 _ANY = re.compile(r"[0-9]|(?i:token|secret|passw|key)|A[KS]IA")
 
 
@@ -125,7 +184,7 @@ def _cuts(text: str) -> Iterator[str]:
 class Pseudonymizer:
     """Finds and replaces; one instance a task, so that permutations are set up once."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.key = key
         self.cache: dict[tuple[str, int], Feistel] = {}
         self.count = 0
@@ -136,32 +195,22 @@ class Pseudonymizer:
 
     def digits(self, label: str, text: str) -> str:
         """Permute the digits of ``text`` as one number and leave everything between them."""
-        own = re.sub(r"[^0-9]", "", text)
-        new = iter(f"{self.permute(f'{label}{len(own)}', 10 ** len(own), int(own)):0{len(own)}d}")
-        return re.sub(r"[0-9]", lambda _: next(new), text)
+        own = [int(c) for c in text if c in _DIGITS]
+        new = iter(Places(self.key, f"{label}{len(own)}", [10] * len(own)).encrypt(own))
+        return re.sub(r"[0-9]", lambda _: str(next(new)), text)
 
     def letters(self, label: str, text: str) -> str:
         """Permute a mixed string within its own pattern of digit, lower-case and upper-case places."""
-        size, x, places = 1, 0, []
-        for ch in text:
-            alphabet = next((a for a in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if ch in a), None)
-            if alphabet:
-                size, x = size * len(alphabet), x * len(alphabet) + alphabet.index(ch)
-            places.append(alphabet)
-        if size == 1:  # no such place: the whole is replaced by its keyed digest
+        places = [_ALPHABET.get(ch) for ch in text]
+        own = [p for p in places if p]
+        if not own:  # no such place: the whole is replaced by its keyed digest
             return hashlib.blake2b(text.encode("utf-8", "replace"), key=hashlib.sha256(self.key).digest(), digest_size=6).hexdigest()
-        pattern = "".join("." if a is None else a[0] for a in places)
-        y, out = self.permute(f"{label}{pattern}", size, x), []
-        for ch, alphabet in zip(reversed(text), reversed(places)):
-            if alphabet:
-                y, i = divmod(y, len(alphabet))
-                ch = alphabet[i]
-            out.append(ch)
-        return "".join(reversed(out))
+        pattern = "".join(p[0][0] if p else "." for p in places)
+        new = iter(Places(self.key, label + pattern, [len(a) for a, _ in own]).encrypt([i for _, i in own]))
+        return "".join(p[0][next(new)] if p else ch for ch, p in zip(text, places))
 
     def hexadecimal(self, text: str) -> str:
-        y = self.permute(f"hex{len(text)}", 16 ** len(text), int(text, 16))
-        new = f"{y:0{len(text)}x}"
+        new = "".join(f"{v:x}" for v in Places(self.key, f"hex{len(text)}", [16] * len(text)).encrypt([int(c, 16) for c in text]))
         return new.upper() if text.upper() == text else new
 
     def card(self, text: str) -> str | None:
@@ -172,11 +221,12 @@ class Pseudonymizer:
         new = iter(body + luhn_digit(body))
         return re.sub(r"[0-9]", lambda _: next(new), text)
 
-    def day(self, date: dt.date) -> dt.date | None:
-        n = date.toordinal()
-        if not FIRST_DAY <= n <= LAST_DAY:
-            return None
-        return dt.date.fromordinal(FIRST_DAY + self.permute("day", LAST_DAY - FIRST_DAY + 1, n - FIRST_DAY))
+    def day(self, date: dt.date) -> dt.date:
+        n, inside = date.toordinal(), LAST_DAY - FIRST_DAY + 1
+        if FIRST_DAY <= n <= LAST_DAY:
+            return dt.date.fromordinal(FIRST_DAY + self.permute("day", inside, n - FIRST_DAY))
+        n = self.permute("far day", dt.date.max.toordinal() - inside, n - 1 - inside * (n > LAST_DAY)) + 1
+        return dt.date.fromordinal(n + inside * (n >= FIRST_DAY))
 
     def date(self, text: str, order: str) -> str | None:
         """Any layout of three numbers or of a month's name; order gives their meaning, as 'ymd'."""
@@ -187,15 +237,15 @@ class Pseudonymizer:
                 new = self.day(dt.date(*(value[guess.index(c)] for c in "ymd")))
             except ValueError:
                 continue
-            if new is None:
-                return None
             by = {"y": new.year, "m": new.month, "d": new.day}
             fill = iter(guess)
+            # Days and months keep two digits unless the value itself shows one without a leading zero.
+            width = 2 if all(len(p) == 2 for c, p in zip(guess, parts) if c != "y" and p.isdigit()) else 1
 
             def put(m: re.Match) -> str:
                 c, old = next(fill), m.group()
                 if old.isdigit():
-                    return f"{by[c]:0{len(old) if old[0] == '0' or c == 'y' else 1}d}"
+                    return f"{by[c]:0{len(old) if c == 'y' else width}d}"
                 name = next(k for k, v in MONTHS.items() if v == by[c])
                 return name.upper() if old.isupper() else name.capitalize() if old[0].isupper() else name
 
@@ -245,18 +295,34 @@ class Pseudonymizer:
             return head + self.digits("phone" + head, text[len(head) :])
         return self.digits("phone", text)
 
-    def email(self, m: re.Match) -> str:
-        local, _, host = m.group().rpartition("@")
+    def email(self, local: str, host: str) -> str:
         host, dot, top = host.rpartition(".")
-        self.count += 1
         return f"{self.letters('mail', local)}@{self.letters('host', host)}{dot}{top}"
 
+    def emails(self, text: str) -> str:
+        out, done, at = [], 0, 0
+        while (at := text.find("@", at)) >= 0:
+            host = _HOST.match(text, at + 1)
+            # The text since the last @ or mailbox, from its end: every character is looked at once.
+            local = _LOCAL.match(text[max(done, text.rfind("@", done, at) + 1) : at][::-1]) if host else None
+            at += 1
+            if local:
+                start, at = at - 1 - local.end(), host.end()
+                out += text[done:start], self.email(text[start : host.start() - 1], host.group())
+                done = at
+                self.count += 1
+        return "".join(out) + text[done:]
+
     def printed(self, text: str, start: int) -> tuple[int, str] | None:
         """End and replacement of the card that starts at ``start`` in one group or in groups as cards are printed."""
         m = _AT_CARD.match(text, start)
-        for part in _cuts(m.group()) if m else ():
-            sizes = tuple(len(g) for g in re.split("[ -]", part))
-            if (len(sizes) == 1 or sizes in _PRINTED) and (new := self.card(part)) is not None:
+        if not m:
+            return None
+        groups = re.split("[ -]", m.group())
+        sizes = tuple(map(len, groups))
+        for n in [len(p) for p in _PRINTED if sizes[: len(p)] == p] + [1] * (sizes[0] >= 13):
+            part = m.group()[: sum(sizes[:n]) + n - 1]
+            if (new := self.card(part)) is not None:
                 return start + len(part), new
         return None
 
@@ -266,18 +332,25 @@ class Pseudonymizer:
         new = self.value(m.lastgroup, m.group()) if m else None
         return None if new is None else (m.end(), new)
 
+    def sure(self, text: str, start: int) -> tuple[int, str] | None:
+        """What ``printed`` or else ``other`` finds at ``start``; kept, as neighbours ask again."""
+        if start not in self.known:
+            self.known[start] = self.printed(text, start) or self.other(text, start)
+        return self.known[start]
+
     def card_or_other(self, text: str, m: re.Match) -> tuple[int, str | None]:
         """End and replacement of what starts with these digits, or the end of the first group and None."""
         start, whole = m.span()
-        if found := self.printed(text, start):
-            return found
-        if found := self.other(text, start):
+        if found := self.sure(text, start):
             return found
-        groups = [start + g.start() for g in re.finditer("[0-9]+", text[start:whole])]
-        if not any(self.printed(text, g) or self.other(text, g) for g in groups[1:]):
-            for part in _cuts(m.group()):
-                if (new := self.card(part)) is not None:
-                    return start + len(part), new
+        for part in _cuts(m.group()):
+            if sum(map(str.isdigit, part)) < 13:
+                break
+            if (new := self.card(part)) is not None:
+                groups = [start + g.start() for g in re.finditer("[0-9]+", text[start:whole])]
+                if any(self.sure(text, g) for g in groups[1:]):
+                    break
+                return start + len(part), new
         return start + re.match("[0-9]+", m.group()).end(), None
 
     def value(self, kind: str, text: str) -> str | None:
@@ -291,6 +364,7 @@ class Pseudonymizer:
 
     def numbers(self, text: str) -> str:
         out, done, at = [], 0, 0
+        self.known: dict[int, tuple[int, str] | None] = {}
         while m := NUMBERS.search(text, at):
             start, at = m.span()
             if m.lastgroup == "card":
@@ -314,7 +388,7 @@ class Pseudonymizer:
         if not text:
             return text, 0
         if "@" in text:
-            text = EMAIL.sub(self.email, text)
+            text = self.emails(text)
         if _ANY.search(text):
             text = self.numbers(text)
         return text, self.count
@@ -331,18 +405,21 @@ def _replacer(key: bytes) -> Callable:
     return replace
 
 
-def replaced(text: Column, key: bytes = KEY) -> Column:
+def replaced(text: Column, key: bytes) -> Column:
     """Struct ``(text, found)`` of a text column; a null text stays null with 0 found."""
     ship(SparkSession.active())
     return _replacer(key)(text)
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with the values in ``text`` replaced; same rows, same columns, ``n_chars`` counted anew.
 
-    Narrow: texts cross to Python once in Arrow batches, nothing is shuffled. Null and empty texts
-    stay as they are, repeated rows get the same replacements, an empty table stays empty, and other
-    columns, whatever their names, pass through.
+    ``key`` is the caller's; who has it can link and undo. Narrow: texts cross to Python once in Arrow
+    batches, nothing is shuffled. Null and empty texts stay as they are, repeated rows get the same
+    replacements, an empty table stays empty, and other columns, whatever their names, pass through.
+    Texts and values may be of any length; the time grows with the length. All valid calendar days are
+    dates, those of 1900 to 2099 among themselves. Of telephone numbers only the form and the number
+    of digits can be checked.
     """
     out = docs.withColumn("text", replaced(F.col("text"), key)["text"])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
@@ -351,4 +428,4 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's id, its text with pseudonyms, and the number of values replaced in it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.select("doc_id", replaced(F.col("text")).alias("r")).select("doc_id", "r.text", F.col("r.found").alias("pii_found"))
+    return docs.select("doc_id", replaced(F.col("text"), session_key(spark)).alias("r")).select("doc_id", "r.text", F.col("r.found").alias("pii_found"))

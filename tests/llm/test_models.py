@@ -1,8 +1,11 @@
 """Operators 4, 8 and 10: held-out accuracy, permutations, formats, edge cases; and the pipeline."""
 
 import datetime as dt
+import hashlib
+import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -13,6 +16,9 @@ import corpus_pipeline
 from lattica.llm import jaccard, pii, quality, toxicity
 
 
+KEY = b"a key of the tests"
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     d = "/root/testdata/sf0.1"
@@ -133,7 +139,7 @@ VALUES = [
 
 @pytest.mark.parametrize("value", VALUES)
 def test_formats_stay_and_links_hold(value):
-    work = pii.Pseudonymizer()
+    work = pii.Pseudonymizer(KEY)
     one, n = work(f"before {value}, after")
     two, _ = work(f"Elsewhere: {value}")
     new = one.removeprefix("before ").removesuffix(", after")
@@ -153,11 +159,11 @@ def test_formats_stay_and_links_hold(value):
 
 def test_invalid_values_stay():
     for text in ("4111111111111112", "300.1.1.1", "2023-02-30", "000-12-3456", "version 3.14", "DE00370400440532013000", "5927243074273351", "1234567890123456789012345", "a@b", "room 12"):
-        assert pii.Pseudonymizer()(text) == (text, 0)
+        assert pii.Pseudonymizer(KEY)(text) == (text, 0)
 
 
 def test_values_beside_numbers_and_capitals_are_found():
-    work = pii.Pseudonymizer()
+    work = pii.Pseudonymizer(KEY)
     card, iban, phone = "4111 1111 1111 1111", "BE68 5390 0754 7034", "555-123-4567"
     for value in (card, card.replace(" ", "-"), card.replace(" ", ""), "3782 822463 10005", iban, iban.replace(" ", ""), phone):
         new = work(value)[0]
@@ -176,23 +182,116 @@ def test_values_beside_numbers_and_capitals_are_found():
 
 
 def test_pseudonyms_are_one_to_one():
-    work = pii.Pseudonymizer()
+    work = pii.Pseudonymizer(KEY)
     days = {work((dt.date(1980, 1, 1) + dt.timedelta(days=i)).isoformat())[0] for i in range(2000)}
     cards = {work(b + pii.luhn_digit(b))[0] for b in (f"41111111111{i:04d}" for i in range(1500))}
     assert len(days) == 2000 and len(cards) == 1500
 
 
+def test_places_permute_and_undo():
+    for sizes in ([10], [10, 10], [10, 26, 26], [2, 3, 4]):
+        every = [list(x) for x in itertools.product(*map(range, sizes))]
+        f = pii.Places(b"k", "t", sizes)
+        assert sorted(f.encrypt(x) for x in every) == every and all(f.decrypt(f.encrypt(x)) == x for x in every)
+    rng = random.Random(3)
+    for n in (pii.MANY_PLACES, pii.MANY_PLACES + 1, 5000):
+        sizes = [rng.choice((10, 26, 16)) for _ in range(n)]
+        x = [rng.randrange(k) for k in sizes]
+        f = pii.Places(b"k", "t", sizes)
+        y = f.encrypt(x)
+        # The same network, written out for one place at a time.
+        want, cut = list(x), n // 2
+        for i in range(pii.ROUNDS):
+            own, other = ((0, cut), (cut, n)) if i % 2 == 0 else ((cut, n), (0, cut))
+            stream = hashlib.shake_256(hashlib.sha256(b"k").digest() + b"t|" + b"%d:" % i + bytes(want[slice(*other)])).digest(8 * (own[1] - own[0]))
+            for k in range(*own):
+                want[k] = (want[k] + int.from_bytes(stream[8 * (k - own[0]) :][:8], "big")) % sizes[k]
+        assert y == want and f.decrypt(y) == x
+        assert sum(a == b for a, b in zip(x, y)) < max(8, n / 5)
+
+
+@pytest.mark.parametrize("n", [1, 16, 60, 110, 180, 1000, 100_000])
+def test_values_of_any_length(spark, n):
+    letters = "".join(random.Random(n).choices("abcdefghij0123456789ABC", k=n - 1)) + "7"
+    values = [letters + "@mail.example.com", "a@" + letters.lower() + ".com"] + ([f"token = {letters}", f"key: {(letters.lower() * 2)[:n]}f".translate(str.maketrans("ghij", "abcd"))] if n >= 16 else [])
+    rows = [(i, f"see {v} now") for i, v in enumerate(values)]
+    began = time.time()
+    got = [r.text for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
+    assert all(len(new) == len(old) and new.startswith("see ") and new.endswith(" now") for (_, old), new in zip(rows, got))
+    assert n < 16 or all(new != old for (_, old), new in zip(rows, got))
+    assert time.time() - began < 60
+
+
+def test_long_runs_take_linear_time():
+    work = pii.Pseudonymizer(KEY)
+    for run in ("a" * 1_000_000, "a@" * 500_000, "a." * 500_000, "1 " * 40_000, "key " * 200_000, "+1 " * 40_000, "12-" * 40_000):
+        for text in (run + " @", "@ " + run, run + "@" + run):
+            began = time.time()
+            work(text)
+            assert time.time() - began < 20, run[:4]
+
+
+def test_days_of_all_years_are_permuted():
+    work = pii.Pseudonymizer(KEY)
+    far = [dt.date(1, 1, 1), dt.date(1899, 12, 31), dt.date(2100, 1, 1), dt.date.max, *(dt.date(1066, 1, 1) + dt.timedelta(days=i) for i in range(700))]
+    new = [work.day(d) for d in far]
+    assert len(set(new)) == len(far) and all(d.year < 1900 or d.year > 2099 for d in new)
+    assert work("on 1815-06-18.")[1] == 1 and work("18.06.1815")[0] != "18.06.1815"
+
+
+def test_pii_query_as_brute_force(spark):
+    """Every value that plain patterns and validations of their own find is replaced in its form; all else stays."""
+    sf = "/root/testdata/sf0.01"
+    spark.conf.set(pii.KEY_CONF, "one key")
+    got = {r.doc_id: r for r in pii.query(spark, sf).collect()}
+    spark.conf.unset(pii.KEY_CONF)
+
+    def valid(m):
+        v = m.group()
+        if m.lastgroup == "card":
+            total = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(v)))
+            return total % 10 == 0
+        return m.lastgroup != "ip" or all(int(o) < 256 for o in v.split("."))
+
+    plain = re.compile(
+        r"(?P<mail>[\w.+%-]+@[\w-]+(?:\.[\w-]+)+)|(?P<key>token = \"[0-9a-f]{16,}\")|(?P<phone>\+1 \(\d{3}\) \d{3}-\d{4})"
+        r"|(?P<ip>(?<!\w)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w))|(?P<card>(?<!\w)\d{16}(?!\w))"
+    )
+    links = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        found = [m for m in plain.finditer(r.text or "") if valid(m)]
+        assert got[r.doc_id].pii_found == len(found)
+        rest, at = got[r.doc_id].text, 0
+        for m in found:
+            before = r.text[at : m.start()]
+            assert rest.startswith(before)
+            new = plain.match(rest, len(before))
+            assert new and new.lastgroup == m.lastgroup and valid(new)
+            assert links.setdefault(m.group(), new.group()) == new.group()
+            rest, at = rest[new.end() :], m.end()
+        assert rest == (r.text or "")[at:]
+    assert len(set(links.values())) == len(links) > 30 and sum(a == b for a, b in links.items()) == 0
+
+
+def test_key_of_the_session(spark):
+    drawn = pii.session_key(spark)
+    assert len(drawn) == 32 and pii.session_key(spark) == drawn
+    spark.conf.set(pii.KEY_CONF, "my own")
+    assert pii.session_key(spark) == b"my own"
+    spark.conf.unset(pii.KEY_CONF)
+
+
 def test_pii_edge_cases(spark):
     long = "x1 " * 300_000 + "4111111111111111"
     rows = [(1, None, None, "a"), (2, "", 0, "a"), (3, "ip 1.2.3.4", 10, "b"), (3, "ip 1.2.3.4", 10, "b"), (None, "mail a@b.com", 12, "c"), (4, long, len(long), "d")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, found string")
-    out = pii.pseudonymize(df)
+    out = pii.pseudonymize(df, KEY)
     assert out.columns == df.columns and out.dtypes == df.dtypes
     got = out.collect()
     assert [r.text for r in got if r.doc_id == 1] == [None] and [r.text for r in got if r.doc_id == 2] == [""]
     assert len({r.text for r in got if r.doc_id == 3}) == 1 and all(r.n_chars == len(r.text) for r in got if r.text)
     assert all("1.2.3.4" != r.text[3:] and "a@b.com" not in r.text and "4111111111111111" not in r.text for r in got if r.text)
-    assert pii.pseudonymize(df.limit(0)).count() == 0
+    assert pii.pseudonymize(df.limit(0), KEY).count() == 0
 
 
 def test_pipeline_stages(spark):
@@ -246,7 +345,7 @@ def shingled(text):
 
 def test_random_texts_never_break_the_replacement():
     rng = random.Random(2)
-    work = pii.Pseudonymizer()
+    work = pii.Pseudonymizer(KEY)
     for _ in range(3000):
         text = "".join(rng.choice("0123456789-/.+() @aAzZé:=\"'keytoken,\n") for _ in range(rng.randint(0, 60)))
         out, n = work(text)
