@@ -30,8 +30,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal values in every text by pseudonyms of the same format."""
-    return pii.pseudonymize(docs)
+    """Replaces personal values in every text by pseudonyms of the same format, under the session's key."""
+    return pii.pseudonymize(docs, pii.session_key(spark))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
