@@ -80,3 +80,45 @@ def test_whole_table(spark, sf):
     for r in sorted(table.collect(), key=lambda r: (r.conv_id, r.turn)):
         want[r.conv_id] += chat.turn_tokens(r.role, r.text)
     assert got == dict(want)
+
+
+def test_walk_goes_on_over_parts(spark):
+    """Many parts, nodes open over several of them: numbers, counts and intervals as by brute force."""
+    rows = []
+    for c in range(120):
+        rows += [(c, 0, "system", "one prompt for all"), (c, 1, "user", f"q {c % 3}")]
+        rows += [(c, 2 + k, "user", f"{k} {c % 5}") for k in range(c % 4)]
+        rows += [(c, 9, "user", f"own {c}")] * (c % 2)
+    df = spark.createDataFrame(rows, SCHEMA)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = chat.format_chats(df).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    paths, want = defaultdict(list), defaultdict(list)
+    for c, _, role, text in sorted(rows):
+        paths[c].append((role, text))
+        want[c] += chat.turn_tokens(role, text)
+    assert rebuilt(got) == dict(want)
+    passes = defaultdict(int)
+    for p in paths.values():
+        for k in range(len(p)):
+            passes[tuple(p[: k + 1])] += 1
+    nodes = {r.node: r for r in got}
+
+    def turns(r):
+        return (*(turns(nodes[r.parent]) if r.parent is not None else ()), tuple(r.tokens))
+
+    named = {tuple(tuple(chat.turn_tokens(*x)) for x in p): n for p, n in passes.items()}
+    assert {turns(r): r.conversations for r in got} == named
+    assert sorted(c for r in got for c in r.ends) == list(range(120))
+
+
+def test_many_turns_and_a_prompt_of_many_conversations(spark):
+    long = spark.range(20_000).selectExpr("1L conv_id", "id turn", "'user' role", "cast(id % 7 as string) text")
+    wide = spark.range(60_000).selectExpr("id + 2 conv_id", "explode(sequence(0, 1)) turn", "'user' role", "id").selectExpr("conv_id", "cast(turn as long) turn", "role", "if(turn = 0, 'prompt', concat('q ', id)) text")
+    got = chat.format_chats(long.unionByName(wide)).select("tree_id", "node", "depth", "conversations", "start", "position", "attends", "ends").toPandas()
+    chain = got[got.depth > 2].sort_values("depth")
+    assert list(chain.depth) == list(range(3, 20_001)) and (chain.start == chain.position).all()
+    assert all(len(a) == 1 and a[0]["from"] == 0 and a[0]["to"] == s for a, s in zip(chain.attends, chain.start))
+    root = got[(got.depth == 1) & (got.conversations > 1)]
+    assert list(root.conversations) == [60_000] and len(got) == 20_000 + 60_001
+    assert sorted(got.node) == list(range(80_001))
