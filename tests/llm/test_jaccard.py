@@ -58,16 +58,62 @@ def test_pairs_equal_brute_force(spark):
     assert (1002, 1003) in got and (0, 1000) in got and (1000, 1001) in got
 
 
-def test_crowds_are_verified_one_by_one(spark, monkeypatch):
+def test_crowds_are_cut_into_blocks(spark, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame(rows, SCHEMA)
     together = found(jaccard.near_pairs(df))
-    monkeypatch.setattr(jaccard, "MOST_TOGETHER", 2)
+    monkeypatch.setattr(jaccard, "CROWD", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 1500)
     monkeypatch.setattr(jaccard, "MOST_BROADCAST", 0)
     monkeypatch.setattr(jaccard, "LIST", 1)
     assert found(jaccard.near_pairs(df)) == together
 
 
+def test_near_threshold_pairs_force_a_descent(spark, monkeypatch):
+    """The estimate stops at the deepest prefixes where only close copies exist, and goes on for pairs right at the threshold."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(1 << 40)}"
+    depths = []
+    real = jaccard._level
+    monkeypatch.setattr(jaccard, "_level", lambda trie, floor, depth, deeper: depths.append(depth) or real(trie, floor, depth, deeper))
+
+    def pairs(shared):
+        out = []
+        for i in range(150):
+            common = [word() for _ in range(shared)]
+            out += [(2 * i, " ".join(common + [word() for _ in range(100 - shared)])), (2 * i + 1, " ".join(common + [word() for _ in range(100 - shared)]))]
+        return out
+
+    for shared, want in ((98, [5]), (73, [5, 4])):
+        depths.clear()
+        rows = pairs(shared)
+        got = found(jaccard.near_pairs(spark.createDataFrame(rows, SCHEMA)))
+        true = {p: j for p, j in ((p, len(shingles(rows[p[0]][1]) & shingles(rows[p[1]][1])) / len(shingles(rows[p[0]][1]) | shingles(rows[p[1]][1]))) for p in ((2 * i, 2 * i + 1) for i in range(150))) if j >= jaccard.THRESHOLD}
+        assert depths == want and len(true) > 100 and set(got) <= set(true) and len(got) >= 0.9 * len(true)
+
+
+def test_digests_that_begin_alike_stay_apart(spark, monkeypatch):
+    rows = corpus()
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain = found(jaccard.near_pairs(df))
+    real = jaccard._signed
+
+    def masked(batches):
+        for batch in real(batches):
+            nodes = [n & 3 for n in batch.column("node").to_pylist()]
+            yield batch.set_column(2, "node", jaccard.pa.array(nodes, jaccard.pa.int64()))
+
+    monkeypatch.setattr(jaccard, "_signed", masked)
+    assert found(jaccard.near_pairs(df)) == plain
+
+
+def test_repeated_ids_give_a_pair_once(spark):
+    text = " ".join(f"a{i}" for i in range(60))
+    rows = [(5, text), (5, text + " b c"), (9, text), (9, text)]
+    assert found(jaccard.near_pairs(spark.createDataFrame(rows, SCHEMA))) == {(5, 9): 1.0}
+    assert jaccard.near_pairs(spark.createDataFrame(rows, SCHEMA)).count() == 1
+
+
 def test_one_of_each_keeps_the_least_id(spark):
     rows = corpus()
     df = spark.createDataFrame([(*r, 1, "x") for r in rows + [rows[5]]], SCHEMA + ", _rank int, node string")
