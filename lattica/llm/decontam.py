@@ -22,8 +22,8 @@ from lattica.runtime import ship
 
 WORDS = 5
 THRESHOLD = 0.6
-#: Shingles of all items together that may be sent to every executor (8 bytes each); see :func:`items_of`.
-MOST_BROADCAST = 8_000_000
+#: Shingles of the items of one part, some 32 bytes each where they are sent to the executors; see :func:`items_of`.
+MOST_BROADCAST = 2_000_000
 
 
 class Items:
@@ -43,7 +43,8 @@ class Items:
         for k, (size, _) in enumerate(self.sizes):
             by_size.setdefault(size, []).append(k)
         self.groups = {size: (ks, np.unique(np.concatenate([self.sets[k] for k in ks]))) for size, ks in by_size.items()}
-        self.prefix: dict[int, dict[int, list[int]]] = {}
+        #: For each shingle size the prefix shingles, sorted, and the item of each.
+        self.prefix: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def hits(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each shingle size, the places in a document whose shingle is in some item."""
@@ -59,18 +60,24 @@ class Items:
     def order(self, frequency: dict[int, int]) -> None:
         """Keep of each item the prefix that a match can't avoid, given document frequencies."""
         for size, (ks, _) in self.groups.items():
-            index = self.prefix.setdefault(size, {})
+            hashes, items = [], []
             for k in ks:
                 rare = sorted(self.sets[k].tolist(), key=lambda h: (frequency.get(h, 0), h))
-                for h in rare[: len(rare) - self.needed[k] + 1]:
-                    index.setdefault(h, []).append(k)
+                kept = rare[: len(rare) - self.needed[k] + 1]
+                hashes.append(np.array(kept, dtype=np.uint64))
+                items.append(np.full(len(kept), k, dtype=np.int32))
+            flat, item = np.concatenate(hashes), np.concatenate(items)
+            order = np.argsort(flat, kind="stable")
+            self.prefix[size] = flat[order], item[order]
 
     def matches(self, words: np.ndarray) -> list[tuple[int, float, int]]:
         """(item, containment, first word) of the best window of each item that matches, by item."""
         out = []
         for size, place, held in self.hits(words):
-            index = self.prefix[size]
-            candidates = {k for h in np.unique(held).tolist() for k in index.get(h, ())}
+            hashes, items = self.prefix[size]
+            own = np.unique(held)
+            lo, hi = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+            candidates = {k for i, j in zip(lo[lo < hi].tolist(), hi[lo < hi].tolist()) for k in items[i:j].tolist()}
             for k in candidates:
                 mine = np.isin(held, self.sets[k])
                 at, code = place[mine], held[mine]
@@ -103,25 +110,26 @@ def _densest(at: np.ndarray, code: np.ndarray, width: int) -> tuple[int, int]:
     return best, first
 
 
-def items_of(benchmark: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> list[Items]:
-    """The benchmark in parts of at most ``MOST_BROADCAST`` shingles; rows without id or text are left out.
+def items_of(benchmark: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> Iterator[Items]:
+    """The benchmark in parts of about ``MOST_BROADCAST`` shingles; rows without id or text are left out.
 
     A benchmark is fixed while the corpus grows. Should it ever outgrow one part, the corpus is passed
-    over once a part, which gives the same matches.
+    over once a part, which gives the same matches; the driver holds one part at a time. Item ids are
+    whole numbers.
     """
     ship(benchmark.sparkSession)
-    parts, ids, texts, held = [], [], [], 0
+    ids, texts, held = [], [], 0
     rows = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id", "text")
     for row in rows.toLocalIterator():
         ids.append(row.item_id)
         texts.append(row.text)
         held += row.text.count(" ") + row.text.count("\n") + 1
         if held >= MOST_BROADCAST:
-            parts.append(Items(ids, texts, n, threshold))
+            if (part := Items(ids, texts, n, threshold)).ids:
+                yield part
             ids, texts, held = [], [], 0
-    if ids:
-        parts.append(Items(ids, texts, n, threshold))
-    return [p for p in parts if p.ids]
+    if ids and (part := Items(ids, texts, n, threshold)).ids:
+        yield part
 
 
 def _each(texts: pd.Series) -> Iterator[np.ndarray]:
@@ -149,12 +157,12 @@ def ordered(docs: DataFrame, items: Items) -> Items:
 
 def matches(docs: DataFrame, items: Items) -> Column:
     """Column of ``array<struct(item_id, containment, word)>`` for ``text``."""
-    ready = ordered(docs, items)
+    ready = docs.sparkSession.sparkContext.broadcast(ordered(docs, items))  # bounded by MOST_BROADCAST
 
     @F.pandas_udf("array<struct<item_id:long,containment:double,word:long>>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[{"item_id": i, "containment": c, "word": w} for i, c, w in ready.matches(words)] for words in _each(texts)], dtype=object)
+            yield pd.Series([[{"item_id": i, "containment": c, "word": w} for i, c, w in ready.value.matches(words)] for words in _each(texts)], dtype=object)
 
     return find(F.col("text"))
 
@@ -164,8 +172,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, threshold: floa
 
     ``word`` is the first word of the best window. Narrow but for the counts of the items' own
     shingles: texts are never shuffled. Null and empty texts and items match nothing; a repeated row
-    is reported as often as it occurs; an empty table on either side gives no rows. Only ``doc_id``
-    and ``text`` are read, so further columns don't matter.
+    is reported as often as it occurs, a repeated item once, and an item id with several texts once for
+    each; texts of any length are read whole; an empty table on either side gives no rows. Only
+    ``doc_id`` and ``text`` are read, so further columns don't matter.
     """
     parts = [
         docs.select("doc_id", F.explode(matches(docs, items)).alias("m")).select("doc_id", "m.item_id", "m.containment", "m.word")

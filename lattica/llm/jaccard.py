@@ -64,7 +64,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def sketches(sig: np.ndarray) -> np.ndarray:
     """Two bits of each minimum hash, four to a byte."""
-    low = (sig & 3).astype(np.uint8).reshape(len(sig), -1, 4)
+    low = (sig & 3).astype(np.uint8).reshape(len(sig), sig.shape[1] // 4, 4)
     return low[:, :, 0] | low[:, :, 1] << 2 | low[:, :, 2] << 4 | low[:, :, 3] << 6
 
 

@@ -210,7 +210,8 @@ def _boost(x: np.ndarray, y: np.ndarray, rounds: int, pairs: int) -> Additive:
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``rows`` labelled documents; only features reach the driver.
 
-    Rows of ``labels`` without an id or a label are left out; repeated ones count as their mean.
+    Rows of ``labels`` without an id or a label are left out; repeated ones count as their mean. An id with
+    several documents counts once, with the least of its texts.
     """
     ship(docs.sparkSession)
     own = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
@@ -222,7 +223,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
             yield pd.Series(list(matrix(texts)), dtype=object)
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most ``rows`` pairs of numbers
-    found = joined.select("doc_id", "good", vector("text").alias("x")).toPandas().sort_values(["doc_id", "good"], kind="stable")
+    once = joined.groupBy("doc_id", "good").agg(F.min("text").alias("text"))
+    found = once.select("doc_id", "good", vector("text").alias("x")).toPandas().sort_values(["doc_id", "good"], kind="stable")
     x = np.array(found["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return x, found["good"].to_numpy(dtype=float)
 
@@ -244,7 +246,8 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Dat
 
     ``score`` is the chance of good quality. Narrow: one pass, no shuffle. A null or blank text scores
     0 and isn't kept, unless there was nothing to learn from, when all are kept with a score of 0.5;
-    an empty table gives no rows; repeated rows score alike; other columns aren't read.
+    an empty table gives no rows; repeated rows score alike; texts of any length are read whole; other
+    columns aren't read.
     """
     model = fit(*training_rows(docs, labels, rows))
     score = scorer(model)(F.col("text"))

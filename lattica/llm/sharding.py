@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.runtime import ship
 
@@ -34,8 +35,10 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = SHARDS) -> DataFrame:
     """Rows ``(key, shard)``, one for each row of ``df``.
 
-    Narrow: no shuffle, one pass over one column. A null key has a null shard; repeated keys share
-    their shard; an empty table gives no rows; other columns, whatever their names, aren't read.
+    Whole numbers are keys as they are; keys of any other type, texts of any length too, are hashed to 64
+    bits by ``xxhash64`` first. Narrow: no shuffle, one pass over one column. A null key has a null
+    shard; repeated keys share their shard; an empty table gives no rows; other columns, whatever their
+    names, aren't read.
     """
 
     ship(df.sparkSession)
@@ -48,7 +51,8 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = SHARDS) -> D
             out[known] = jump_hash(ids[known].astype("int64").to_numpy(), shards).astype("int32")
             yield out
 
-    shard = F.when(F.col(key).isNotNull(), shard_of(F.coalesce(F.col(key).cast("long"), F.lit(0))))
+    number = F.col(key).cast("long") if isinstance(df.schema[key].dataType, T.IntegralType) else F.xxhash64(key)
+    shard = F.when(F.col(key).isNotNull(), shard_of(F.coalesce(number, F.lit(0))))
     return df.select(F.col(key), shard.alias("shard" if key != "shard" else "shard_"))
 
 

@@ -174,3 +174,8 @@ def test_sketch_estimates_similarity():
 def test_found_chance(depth):
     assert jaccard.found_chance(1.0, depth) == 1
     assert jaccard.found_chance(0.6, depth) < jaccard.found_chance(0.8, depth)
+
+
+def test_tables_without_a_word(spark):
+    df = spark.createDataFrame([(1, ""), (2, None), (3, "..."), (None, None)], SCHEMA)
+    assert jaccard.near_pairs(df).count() == 0 and jaccard.one_of_each(df).count() == 4

@@ -43,6 +43,9 @@ def test_quality_edge_cases(spark, labelled):
     assert model.pairs and np.isfinite(model.threshold)
     got = odd.where(quality.scorer(model)(F.col("text")) >= F.lit(model.threshold))
     assert got.columns == odd.columns and {r.doc_id for r in got.collect()} <= {None, 4}
+    # An id that is repeated counts once.
+    again = docs.select("doc_id", "text").union(spark.range(3000).selectExpr("0L doc_id", "concat('again ', id) text"))
+    assert len(quality.training_rows(again, labels.where("doc_id < 500"), 500)[0]) == labels.where("doc_id < 500").select("doc_id").distinct().count()
     # Nothing to learn from: all stay.
     none = labels.limit(0)
     assert quality.kept(odd, none).count() == 6
@@ -337,6 +340,35 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed} == set(before)
 
 
+def test_pipeline_stages_take_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing columns: no stage breaks or drops clean rows."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = [r.text for r in docs.join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").limit(3).collect()]
+    long = " ".join(f"word{i} that goes on" for i in range(60_000))
+    rows = [(900_001, good[0], "en", "s", len(good[0])), (900_001, good[0], "en", "s", len(good[0])), (None, good[1], None, None, None), (900_002, None, "en", None, 0), (900_003, "", None, "s", 0), (900_004, long, "en", "s", len(long)), (900_005, "call +1 (212) 555-7713 " + good[2], "en", "s", 9)]
+    extra = ["_key", "_gone", "_rank", "root", "node", "m", "found", "part", "score", "_s"]
+    odd = spark.createDataFrame([(*r, *("x" for _ in extra)) for r in rows], docs.schema.simpleString()[7:-1].replace(":", " ") + "".join(f", {c} string" for c in extra))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, sf).collect()
+        assert stage(spark, odd.limit(0), sf).count() == 0, name
+        ids = sorted(r.doc_id or 0 for r in out)
+        if name == "quality_classifier":
+            assert len(ids) == 7  # no labelled document among them: nothing to learn from
+            learned = stage(spark, odd.unionByName(docs, allowMissingColumns=True), sf).where("doc_id IS NULL OR doc_id > 900000").collect()
+            assert {r.doc_id for r in learned} >= {900_001, None} and not {r.doc_id for r in learned} & {900_002, 900_003}
+        elif name == "ngram_jaccard_join":
+            assert ids == [0, 900_001, 900_002, 900_003, 900_004, 900_005]
+        elif name == "benchmark_decontamination":
+            assert len(ids) >= 6 and set(ids) >= {900_002, 900_003, 900_004}
+        elif name == "pii_pseudonyms":
+            assert len(ids) == 7 and not any("555-7713" in (r.text or "") for r in out)
+        else:
+            assert set(ids) - {900_002, 900_003} == {0, 900_001, 900_004, 900_005}, name
+        if name != "best_fit_packing":
+            assert out[0].__fields__ == odd.columns, name
+
+
 def shingled(text):
     words = re.findall(r"\w+", (text or "").lower())
     n = min(jaccard.WORDS, len(words))

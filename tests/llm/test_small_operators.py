@@ -34,6 +34,7 @@ def test_url_edge_cases(spark):
     assert got[5, "http://x.org:8080/"] == ("7", "block")
     assert got[6, "/" + "bad" * 100_000] == ("3", "block") and got[6, "no scheme"] == ("", "pass")
     assert got[None, "bad"] == ("3", "block")
+    assert url_filter.filter_urls(df.union(df), rules).count() == 2 * df.count()
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
@@ -64,6 +65,10 @@ def test_sharding_edge_cases(spark):
     assert sorted((r.doc_id, r.shard) for r in got if r.doc_id) == [(5, jump(5, 10))] * 2
     assert [r.shard for r in got if r.doc_id is None] == [None]
     assert sharding.assign_shards(spark.createDataFrame([], "doc_id long")).count() == 0
+    texts = spark.createDataFrame([("a",), ("a",), ("b" * 100_000,), ("",), (None,)], "doc_id string").selectExpr("*", "xxhash64(doc_id) AS h")
+    for r in texts.join(sharding.assign_shards(texts.select("doc_id"), shards=10).distinct(), "doc_id").collect():
+        assert r["shard"] == jump(r.h, 10)
+    assert [r["shard"] for r in sharding.assign_shards(texts.select("doc_id")).where("doc_id IS NULL").collect()] == [None]
 
 
 def shingled(text, n):
@@ -116,6 +121,14 @@ def test_leaks_equal_brute_force(spark, seed, monkeypatch):
     assert {(r.doc_id, r.item_id, round(r.containment, 9)) for r in decontam.leaks(d, b).collect()} == want
 
 
+def test_repeated_rows_leak_as_often_as_they_occur(spark):
+    text = "the planted passage of nine words stands right here"
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "nothing of the kind")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, text), (7, text), (8, text)], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.item_id) for r in decontam.leaks(docs, items).collect()) == [(0, 7), (0, 8), (1, 7), (1, 7), (1, 8), (1, 8)]
+    assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [2]
+
+
 def test_leaks_in_empty_and_long_inputs(spark):
     docs = spark.createDataFrame([(1, "filler words here " * 200_000 + "the planted passage of nine words stands right here " + "more filler " * 100_000)], "doc_id long, text string")
     items = spark.createDataFrame([(7, "The planted passage of nine words stands right here.")], "item_id long, text string")
