@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.joins import innermost_span_join
+from lattica.runtime import ship
 
 _JOINTS = tuple("across and by for from in of over to using via with".split())
 _CALLER_WORDS = ("used by", "uses", "called by", "what calls", "who calls", "callers?", "calls? into")
@@ -36,18 +38,28 @@ def residual(lines: DataFrame, spans: DataFrame, most: int = RESIDUAL_CHARS) ->
 def greedy_batches(sizes: DataFrame, budget: int = BATCH_CHARS) -> DataFrame:
     """``(group, id, batch)``: items of a group in order of id, a new batch where the next would pass ``budget``.
 
-    A running sum that resets is sequential inside a group, so it is one fold over the group's array.
+    A running sum that resets is sequential inside a group, so groups are spread and sorted, and each is
+    one walk in Arrow batches that holds two numbers.
     """
-    own = sizes.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("id", "size"))).alias("items"))
-    fold = F.aggregate(
-        "items",
-        F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id: bigint, batch: bigint>>").alias("out")),
-        lambda acc, x: F.when(
-            (acc["used"] > 0) & (acc["used"] + x["size"] > budget),
-            F.struct((acc["batch"] + 1).alias("batch"), x["size"].alias("used"), F.array_append(acc["out"], F.struct(x["id"].alias("id"), (acc["batch"] + 1).alias("batch"))).alias("out")),
-        ).otherwise(F.struct(acc["batch"].alias("batch"), (acc["used"] + x["size"]).alias("used"), F.array_append(acc["out"], F.struct(x["id"].alias("id"), acc["batch"].alias("batch"))).alias("out"))),
-    )
-    return own.select("group", F.explode(fold["out"]).alias("o")).select("group", "o.id", "o.batch")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, batch_no, used = object(), 0, 0
+        for batch in batches:
+            out = []
+            for g, size in zip(batch.column("group").to_pylist(), batch.column("size").to_pylist()):
+                if g != group:
+                    group, batch_no, used = g, 0, 0
+                size = size or 0
+                if used > 0 and used + size > budget:
+                    batch_no, used = batch_no + 1, 0
+                used += size
+                out.append(batch_no)
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("id"), pa.array(out, pa.int64())], names=["group", "id", "batch"])
+
+    ship(sizes.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in sizes.schema}
+    rows = sizes.select("group", "id", F.col("size").cast("long").alias("size")).repartition("group").sortWithinPartitions("group", "id")
+    return rows.mapInArrow(walk, f"`group` {kinds['group']}, id {kinds['id']}, batch long")
 
 
 def coarsen(groups: dict[str, list[str]], most: int = 5) -> dict[str, list[str]]:

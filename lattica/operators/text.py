@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import is_test_for_rank, tokens
+from lattica.runtime import stored
 
 K1, B = 1.2, 0.75
 TEST_PENALTY, GRAPH_WEIGHT, RESCUE_FLOOR = 0.35, 0.5, 0.15
@@ -39,25 +41,59 @@ def query_terms(spark: SparkSession, query: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(query)))).alias("token"))
 
 
-def field_scores(docs: DataFrame, query: str) -> DataFrame:
-    """``(id, name_score, path_score, body_score)`` of documents with any query term.
+def _matched(docs: DataFrame, wanted: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``(id, dl, name, path, body)``: body length and, of each field, the tokens that are ``wanted``.
 
-    Only bags of query terms are ever formed: the term filter sits on the exploded tokens, so the one
-    shuffle of the scan carries matching tokens and lengths.
+    Every text is tokenized once, in one narrow pass that is stored; no token is ever shuffled.
     """
-    terms = query_terms(docs.sparkSession, query)
-    bags = token_bags(docs)
-    stats = corpus_stats(docs, bags)
-    weight = document_frequency(bags).join(F.broadcast(terms), "token").crossJoin(stats.select("n")).select("token", idf(F.col("df"), F.col("n")).alias("w"))
-    length = docs.select("id", F.size(tokens(F.col("body"))).alias("dl"))
-    hit = bags.join(F.broadcast(terms), "token").join(weight, "token").join(length, "id").crossJoin(stats.select("avgdl"))
-    norm = K1 * (1 - B + B * F.col("dl") / F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl")))
 
-    def plain(field: str) -> Column:
-        return F.sum(F.when(F.col("field") == field, F.col("tf") * F.col("w")).otherwise(0.0))
+    def of(field: str) -> Column:
+        # One element, so that the tokens are bound once and not made anew for each use.
+        one = F.transform(F.array(tokens(F.col(field))), lambda t: F.struct(F.size(t).alias("n"), F.filter(t, lambda x: x.isin(*wanted)).alias("hits")))
+        return one[0].alias(field)
 
-    body = F.sum(F.when(F.col("field") == "body", F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).otherwise(0.0))
-    return hit.groupBy("id").agg(plain("name").alias("name_score"), plain("path").alias("path_score"), body.alias("body_score"))
+    fields = ("name", "path", "body")
+    own = docs.select("id", *[F.col(c).alias(f"_{c}") for c in keep], *map(of, fields))
+    hits = [F.coalesce(f"{f}.hits", F.array().cast("array<string>")).alias(f) for f in fields]
+    return stored(own.select("id", *[f"_{c}" for c in keep], F.greatest(F.coalesce("body.n", F.lit(0)), F.lit(0)).alias("dl"), *hits))
+
+
+def _frequencies(matched: DataFrame, terms: Sequence[str]):
+    """One row: ``n`` documents, ``total`` body tokens, and for each term how many documents have it."""
+    has = [F.count_if(F.array_contains("name", t) | F.array_contains("path", t) | F.array_contains("body", t)).alias(f"df{i}") for i, t in enumerate(terms)]
+    return matched.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), *has).first()
+
+
+def _terms(spark: SparkSession, query: str) -> list[str]:
+    return [r.token for r in query_terms(spark, query).collect()]
+
+
+def field_scores(docs: DataFrame, query: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``(id, name_score, path_score, body_score)`` and the columns to ``keep`` of documents with any query term.
+
+    One narrow pass makes body lengths and matching tokens; statistics are one row from it, and scores
+    are expressions over it.
+    """
+    terms = _terms(docs.sparkSession, query)
+    if not terms:
+        zero = F.lit(0.0)
+        return docs.limit(0).select("id", *keep, zero.alias("name_score"), zero.alias("path_score"), zero.alias("body_score"))
+    matched = _matched(docs, terms, keep)
+    stats = _frequencies(matched, terms)
+    average = stats.total / max(stats.n, 1) or 1.0
+    norm = K1 * (1 - B + B * F.col("dl") / F.lit(average))
+
+    def summed(field: str, of) -> Column:
+        out = F.lit(0.0)
+        for i, t in enumerate(terms):
+            tf = F.size(field) - F.size(F.array_remove(field, t))
+            out = out + F.when(tf > 0, of(F.lit(math.log(1 + stats.n / (1 + stats[f"df{i}"]))), tf)).otherwise(0.0)
+        return out.alias(f"{field}_score")
+
+    plain = lambda w, tf: tf * w
+    some = matched.where((F.size("name") > 0) | (F.size("path") > 0) | (F.size("body") > 0))
+    bm25 = lambda w, tf: w * tf * (K1 + 1) / (tf + norm)
+    return some.select("id", *[F.col(f"_{c}").alias(c) for c in keep], summed("name", plain), summed("path", plain), summed("body", bm25))
 
 
 def asks_for_tests(query: str) -> bool:
@@ -72,22 +108,27 @@ def test_factor(path: Column, query: str) -> Column:
 
 def lexical_rank(docs: DataFrame, query: str) -> DataFrame:
     """``(id, path, score)``: 3 name + 2 path + BM25 body, tests penalised unless asked for."""
-    s = field_scores(docs, query).join(docs.select("id", "path"), "id")
+    s = field_scores(docs, query, keep=("path",))
     score = (3 * F.col("name_score") + 2 * F.col("path_score") + F.col("body_score")) * test_factor(F.col("path"), query)
     return s.select("id", "path", score.alias("score"))
 
 
 def coverage(docs: DataFrame, query: str, fields: Sequence[str]) -> DataFrame:
     """``(id, share)``: idf-weighted share of the query that a document matches, plurals folded."""
-    terms = query_terms(docs.sparkSession, query)
-    bags = token_bags(docs)
-    n = docs.agg(F.count("*").alias("n"))
-    weights = terms.join(document_frequency(bags), "token", "left").crossJoin(n).select("token", F.coalesce(idf(F.col("df"), F.col("n")), F.log(1 + F.col("n"))).alias("w"))
-    total = weights.agg(F.sum("w").alias("total"))
-    forms = F.array_compact(F.array(F.col("token"), F.concat("token", F.lit("s")), F.when(F.col("token").endswith("s"), F.expr("substring(token, 1, length(token) - 1)"))))
-    wanted = weights.select(F.col("token").alias("term"), "w", F.explode(forms).alias("token"))
-    hit = bags.where(F.col("field").isin(*fields)).join(F.broadcast(wanted), "token").select("id", "term", "w").distinct()
-    return hit.groupBy("id").agg(F.sum("w").alias("m")).crossJoin(total).select("id", (F.col("m") / F.col("total")).alias("share"))
+    terms = _terms(docs.sparkSession, query)
+    if not terms:
+        return docs.limit(0).select("id", F.lit(0.0).alias("share"))
+    forms = [[t, t + "s", *([t[:-1]] if t.endswith("s") else [])] for t in terms]
+    matched = _matched(docs, sorted({f for own in forms for f in own}))
+    stats = _frequencies(matched, terms)
+    weights = [math.log(1 + stats.n / (1 + df)) if (df := stats[f"df{i}"]) else math.log(1 + stats.n) for i in range(len(terms))]
+    share = F.lit(0.0)
+    for own, w in zip(forms, weights):
+        has = F.lit(False)
+        for f in fields:
+            has = has | F.arrays_overlap(f, F.array(*map(F.lit, own)))
+        share = share + F.when(has, w).otherwise(0.0)
+    return matched.select("id", (share / (sum(weights) or 1.0)).alias("share")).where("share > 0")
 
 
 def blend(lexical: DataFrame, walk: DataFrame, docs: DataFrame, query: str) -> DataFrame:

@@ -98,13 +98,15 @@ class Index:
         return found.join(self.nodes.select("id", "name", "path"), "id", "left")
 
     def grep(self, pattern: str, literal: bool = False, ignore_case: bool = False) -> DataFrame:
-        """``(path, symbol, in_degree, hits)``: matching lines by innermost symbol, the most used first; 300 lines at most."""
+        """``(path, symbol, in_degree, hits, dropped)``: matching lines by innermost symbol, the most used first; 300 lines at most, and ``dropped`` counts the rest."""
         lines = self.files.select("path", F.posexplode(F.split("text", "\n")).alias("i", "text")).select("path", (F.col("i") + 1).alias("line"), "text")
         spans = self.nodes.where("kind <> 'file'").select("path", "id", "start_line", "end_line", F.col("start_line").alias("ord"))
-        hits = reports.grep(lines, spans, pattern, literal, ignore_case).orderBy("path", "line").limit(reports.MOST_HITS)
+        every = reports.grep(lines, spans, pattern, literal, ignore_case)
+        dropped = F.lit(max(0, every.count() - reports.MOST_HITS))
+        hits = every.orderBy("path", "line").limit(reports.MOST_HITS)
         groups = hits.groupBy("path", "symbol").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("hits"))
         degree = graph.in_degree(self.edges).withColumnRenamed("id", "symbol")
-        return groups.join(degree, "symbol", "left").select("path", "symbol", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), "hits").orderBy(F.desc("in_degree"), "path", "symbol")
+        return groups.join(degree, "symbol", "left").select("path", "symbol", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), "hits", dropped.alias("dropped")).orderBy(F.desc("in_degree"), "path", "symbol")
 
     def repo_map(self, dirs: int = 16, hubs: int = 3) -> DataFrame:
         """``(dir, files, symbols, languages, hubs, dropped)``; a directory of over 60 % of the files is split once."""

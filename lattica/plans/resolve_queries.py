@@ -119,7 +119,11 @@ def typed_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.typed_members(raw, members, heritage)
 
 
-@query("greedy_batches")
+@query("greedy_batches", f"""WITH RECURSIVE r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+b AS (SELECT source, doc_id, k, 0::BIGINT AS batch, n_chars::BIGINT AS used FROM r WHERE k = 1
+  UNION ALL SELECT r.source, r.doc_id, r.k, CASE WHEN used > 0 AND used + n_chars > {reports.BATCH_CHARS} THEN batch + 1 ELSE batch END,
+    CASE WHEN used > 0 AND used + n_chars > {reports.BATCH_CHARS} THEN n_chars ELSE used + n_chars END FROM b JOIN r ON r.source = b.source AND r.k = b.k + 1)
+SELECT source AS "group", doc_id AS id, batch FROM b""")
 def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.greedy_batches(V.table(spark, sf_dir, "documents").selectExpr("source AS `group`", "doc_id id", "n_chars size"))
 

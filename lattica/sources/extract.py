@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.runtime import ship
+from lattica.runtime import ship, stored
 
 NODE = pa.schema([
     ("id", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("owner", pa.string()), ("path", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()),
@@ -251,8 +251,8 @@ def build(files: DataFrame, modules: DataFrame | None = None) -> tuple[DataFrame
     from lattica.operators.resolve import build_imports, first_edges, resolve_names, typed_members
     from lattica.sources.files import go_modules
 
-    nodes, raw = extract(files)
-    numbered = raw.withColumn("ord", F.xxhash64("file", "ord"))
+    nodes, raw = map(stored, extract(files))  # parsed once for all that is resolved from them
+    numbered = raw.withColumn("ord", F.struct("file", "ord"))
     position = F.struct("path", "start_line", "id")
     symbols = nodes.where("kind <> 'file'").select("id", "name", F.col("path").alias("file"), position.alias("pos"), "owner", "kind", "arity", "variadic")
     fixed = numbered.where("target_id IS NOT NULL").select("ord", "source", "relation", F.col("target_id").alias("target"), F.lit("extracted").alias("confidence"))
