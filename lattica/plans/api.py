@@ -129,18 +129,18 @@ class Index:
         bare = ranges.select("path").distinct().join(seeds.select("path").distinct(), "path", "left_anti")
         seeds = seeds.unionByName(self.nodes.where("kind = 'file'").join(bare, "path", "left_semi").select("path", "id"))
         steps = reports.depth_of(depth, 2)
-        reached = graph.reach(self.edges, seeds, "in", steps)
-        walk = graph.walk_edges(self.edges).select(F.col("target").alias("at"), F.col("source").alias("id"))
-        marks = seeds.select(F.col("path").alias("origin"), "id")
-        pairs, frontier, level = marks, marks, 0
+        # One walk, keyed by the file that it began in; a symbol's depth is the least over all of them.
+        walk = graph.stored(graph.walk_edges(self.edges).select(F.col("target").alias("at"), F.col("source").alias("id")).distinct())
+        marks = graph.checkpointed(seeds.select(F.col("path").alias("origin"), "id").distinct())
+        pairs, frontier, level = marks.withColumn("depth", F.lit(0)), marks, 0
         while steps is None or level < steps:
             level += 1
             new = graph.checkpointed(frontier.withColumnRenamed("id", "at").join(walk, "at").select("origin", "id").distinct().join(pairs, ["origin", "id"], "left_anti"))
             if new.isEmpty():
                 break
-            pairs, frontier = pairs.unionByName(new), new
-        origins = pairs.groupBy("id").agg(F.array_sort(F.collect_set("origin")).alias("origins"))
-        return reached.join(origins, "id").select("id", "depth", "origins")
+            pairs, frontier = pairs.unionByName(new.withColumn("depth", F.lit(level))), new
+        found = pairs.groupBy("id").agg(F.min("depth").alias("depth"), F.array_sort(F.collect_set("origin")).alias("origins"))
+        return found.where("depth > 0").select("id", "depth", "origins")
 
     def check(self, recorded: DataFrame) -> DataFrame:
         """``(id, drift)`` against nodes recorded earlier, by body."""
