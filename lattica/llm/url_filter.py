@@ -131,7 +131,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "u
     ``rules`` lists the ids of all matching rules in rising order, joined by commas. The verdict is
     ``allow`` if an allow rule matches, else ``block`` if a block rule does, else ``pass``; a null URL
     has no canonical form, no rules and the verdict ``invalid``. An empty URL is matched like any
-    other. Narrow: one pass over two columns, no shuffle. Repeated rows get the same verdict, an empty
+    other, and a URL of any length is read whole. Narrow: one pass over two columns, no shuffle. Repeated rows get the same verdict, an empty
     table gives no rows, further columns aren't read. ``?`` stands for one byte of the UTF-8 form.
     """
     ship(pages.sparkSession)
