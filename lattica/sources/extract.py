@@ -192,7 +192,10 @@ def _breadth(rows: Rows, text: str) -> None:
 
 
 def _block_end(lines: list[str], start: int) -> int:
-    """The line that closes the first brace from ``start`` on, or the end of the indented block."""
+    """The line that closes the first brace from ``start`` on, or the end of the indented block.
+
+    A brace that isn't closed within 5,000 lines counts as unbalanced, and the indentation decides.
+    """
     depth, seen = 0, False
     for n in range(start, min(len(lines), start + 5000) + 1):
         depth += lines[n - 1].count("{") - lines[n - 1].count("}")
