@@ -75,7 +75,24 @@ def bfs_out_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach(V.edges(spark, sf_dir), V.nodes(spark, sf_dir).where("id = 'order/1'"), "out")
 
 
-@query("ppr_rank")
+def _ppr_sql(alpha: float = 0.25, rounds: int = 25) -> str:
+    """The rounds written out one behind the other, each computed once."""
+    steps = "".join(
+        f""", r{k} AS MATERIALIZED (SELECT id, sum(r) AS r FROM (
+  SELECT v AS id, r * share * {1 - alpha} AS r FROM r{k - 1} JOIN links ON id = u
+  UNION ALL SELECT id, p * ({alpha} + {1 - alpha} * (SELECT coalesce(sum(r), 0) FROM r{k - 1} WHERE id NOT IN (SELECT u FROM degree))) FROM restart) GROUP BY id)"""
+        for k in range(1, rounds + 1)
+    )
+    return f"""WITH {V.NODES}, {V.EDGES},
+kept AS (SELECT source, target FROM edges WHERE relation IN {_WALK} AND source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)),
+pairs AS (SELECT u, v, count(*) AS m FROM (SELECT source AS u, target AS v FROM kept UNION ALL SELECT target, source FROM kept) GROUP BY u, v),
+degree AS MATERIALIZED (SELECT u, sum(m) AS d FROM pairs GROUP BY u),
+links AS MATERIALIZED (SELECT u, v, m::DOUBLE / d AS share FROM pairs JOIN degree USING (u)),
+restart AS (SELECT id, 0.5::DOUBLE AS p FROM nodes WHERE id IN ('nation/3', 'part/7')), r0 AS (SELECT id, p AS r FROM restart){steps}
+SELECT id, round(r / (SELECT max(r) FROM r{rounds}), 9) AS score FROM r{rounds} WHERE r > 0"""
+
+
+@query("ppr_rank", _ppr_sql())
 def ppr_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = V.nodes(spark, sf_dir)
     seeds = n.where("id IN ('nation/3', 'part/7')").withColumn("weight", F.lit(1.0))
