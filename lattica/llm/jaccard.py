@@ -9,6 +9,12 @@ depth) reaches the target, among the least similar pairs that count and among al
 compared by their whole shingle sets.
 
 Documents with the same shingle set are one node throughout, so copies cost nothing in the search.
+
+``near_pairs`` returns every pair, whose number grows with the square of a group of near copies. ``linked`` and
+``one_of_each`` need classes and counts alone, and don't list pairs. Under each prefix of ``floor_depth`` hashes
+all nodes are first compared with the least one, which joins most of a group; after that only nodes of different
+classes under one prefix are compared with each other, so the classes are those of all candidates. Links are then
+counted between all nodes of a class, block by block, as products of their shingle matrices.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ CROWD = 2_000
 #: Bytes of shingle sets in a block; the pairs of a component are compared by pairs of its blocks.
 BLOCK_BYTES = 1 << 25
 LIST = 1000
+#: Bytes of shingle sets in a block whose links are counted by one task, and rows and shingles of one product.
+LINK_BYTES, LINK_ROWS, LINK_SHINGLES = 1 << 23, 512, 4096
 
 _FACTORS = np.random.default_rng(4242).integers(1, 1 << 63, size=TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -276,12 +284,15 @@ def _verified(threshold: float):
     return verify
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, sets in _text_slices(batches):
-        same = [i for i, (s, key) in enumerate(zip(sets, part.column("key").to_pylist())) if len(s) and set_key(s) == key]
-        pick = pa.array(same, pa.int64())
-        columns = [part.column(c).take(pick) for c in ("root", "node", "block", "blocks")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([sets[i].tobytes() for i in same], pa.binary())], names=["root", "node", "block", "blocks", "own"])
+def _sets(*carried: str):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _text_slices(batches):
+            same = [i for i, (s, key) in enumerate(zip(sets, part.column("key").to_pylist())) if len(s) and set_key(s) == key]
+            pick = pa.array(same, pa.int64())
+            columns = [part.column(c).take(pick) for c in carried]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([sets[i].tobytes() for i in same], pa.binary())], names=[*carried, "own"])
+
+    return made
 
 
 def one_node_a_key(signed: DataFrame, turn: int = 0) -> DataFrame:
@@ -298,14 +309,18 @@ def one_node_a_key(signed: DataFrame, turn: int = 0) -> DataFrame:
     return one_node_a_key(stored(again), turn + 1)
 
 
+def _texts_signed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ship(docs.sparkSession)
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts, one_node_a_key(stored(texts.mapInArrow(_signed, "doc_id long, key binary, node long, size long, sig binary, sketch binary")))
+
+
 def node_pairs(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> tuple[DataFrame, DataFrame]:
     """Members ``(doc_id, node)`` and verified pairs ``(a, b, jaccard)`` of nodes.
 
     A node is a distinct shingle set, told apart by 128 bits of its digest.
     """
-    ship(docs.sparkSession)
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = one_node_a_key(stored(texts.mapInArrow(_signed, "doc_id long, key binary, node long, size long, sig binary, sketch binary")))
+    texts, signed = _texts_signed(docs)
     members = signed.select("doc_id", "node").distinct()
     pairs = forest(signed, threshold, target)
     roots = components(pairs)
@@ -314,7 +329,7 @@ def node_pairs(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     counted = roots.join(signed.select("node", "size").distinct(), "node").groupBy("root").agg(F.ceil(F.sum(8 * F.col("size")) / BLOCK_BYTES).cast("int").alias("blocks"))
     wanted = stored(nodes.drop("size").join(counted, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     few = wanted.count() <= MOST_BROADCAST
-    owned = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").mapInArrow(_sets, "root long, node long, block int, blocks int, own binary")
+    owned = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").mapInArrow(_sets("root", "node", "block", "blocks"), "root long, node long, block int, blocks int, own binary")
     place = wanted.select("node", "root", "block")
     placed = pairs.join(place.withColumnRenamed("node", "a").withColumnRenamed("block", "x"), "a").join(place.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
     others = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))).alias("ij")
@@ -356,15 +371,181 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     return every.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def led(signed: DataFrame, floor: int) -> DataFrame:
+    """``(bucket, node, leader)`` of the nodes that share a prefix of ``floor`` hashes with a lesser one, the least of them the leader."""
+    at, trees = f"t * {4 * DEPTH} + 1", f"sequence(0, {TREES - 1})"
+    nodes = signed.groupBy("node").agg(F.first("sig").alias("sig"))
+    each = nodes.select("node", F.explode(F.expr(f"transform({trees}, t -> xxhash64(t, substring(sig, {at}, {4 * floor})))")).alias("bucket"))
+    under = each.withColumn("leader", F.min("node").over(Window.partitionBy("bucket")))
+    return stored(under.where("node <> leader"))
+
+
+def _alike(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """The distinct ``(a, b)`` whose sketches aren't ``SLACK`` under the threshold."""
+    own = signed.groupBy("node").agg(F.first("sketch").alias("sketch"))
+    x, y = (own.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    guessed = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", F.pandas_udf(_estimate, "double")("sketch_a", "sketch_b").alias("guess"))
+    return stored(guessed.where(F.col("guess") >= threshold - SLACK).select("a", "b"))
+
+
+def _with_sets(texts: DataFrame, signed: DataFrame, wanted: DataFrame, schema: str) -> DataFrame:
+    """``wanted`` nodes, with their columns of ``schema``, and the shingle set ``own`` of each, made again from the text of its least id."""
+    stands = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("key").alias("key"))
+    chosen = stored(wanted.join(stands, "node"))
+    few = chosen.count() <= MOST_BROADCAST
+    carried = [c.split()[0] for c in schema.split(", ")]
+    return texts.join(F.broadcast(chosen) if few else chosen, "doc_id").mapInArrow(_sets(*carried), f"{schema}, own binary")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose similarity reaches the threshold; the set of each b is sent to its a."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = stored(_with_sets(texts, signed, nodes, "node long"))
+    firsts = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "own")
+    seconds = pairs.join(sets.withColumnRenamed("node", "b"), "b").select("a", "b", "own")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held = None, b""
+        for batch in batches:
+            kept = []
+            for i, (a, b, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "own")))):
+                if b is None:
+                    first, held = a, own
+                elif a == first and _overlap(held, own) >= threshold:
+                    kept.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+    return stored(firsts.unionByName(seconds).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(verify, "a long, b long"))
+
+
+def classes(texts: DataFrame, signed: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
+    """``(node, root)`` of the nodes that some link joins to another; nodes of a class have the same root.
+
+    The classes are those that all links among the nodes under common prefixes make: every such pair is
+    compared, or its nodes are known to be of one class already.
+    """
+    under = led(signed, floor_depth(threshold, target))
+    links = _confirmed(_alike(under.select(F.col("leader").alias("a"), F.col("node").alias("b")), signed, threshold), texts, signed, threshold)
+    roots = components(links)
+    placed = stored(under.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")))
+    met = placed.select("bucket", "root").distinct().withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").drop("n")
+    apart = met.withColumnRenamed("root", "x").join(met.withColumnRenamed("root", "y"), "bucket").where("x < y")
+    across = (
+        apart.join(placed.select("bucket", F.col("root").alias("x"), F.col("node").alias("a")), ["bucket", "x"])
+        .join(placed.select("bucket", F.col("root").alias("y"), F.col("node").alias("b")), ["bucket", "y"])
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    )
+    more = _confirmed(_alike(across, signed, threshold), texts, signed, threshold)
+    return roots if more.isEmpty() else components(links.unionByName(more))
+
+
+def _products(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share, by matrix products over the shingles that both sides have."""
+    x, y = np.concatenate(rows), np.concatenate(cols)
+    both = np.intersect1d(x, y)
+    total = np.zeros((len(rows), len(cols)))
+    places = []
+    for flat, sets in ((x, rows), (y, cols)):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(both, flat)
+        at[at == len(both)] = 0
+        hit = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        at, owner = at[hit], owner[hit]
+        order = np.argsort(at, kind="stable")
+        places.append((at[order], owner[order]))
+    for lo in range(0, len(both), LINK_SHINGLES):
+        hi = min(lo + LINK_SHINGLES, len(both))
+        held = []
+        for (at, owner), sets in zip(places, (rows, cols)):
+            i, j = np.searchsorted(at, (lo, hi))
+            m = np.zeros((len(sets), hi - lo), dtype=np.float32)
+            m[owner[i:j], at[i:j] - lo] = 1  # sums up to LINK_SHINGLES are exact
+            held.append(m)
+        total += held[0] @ held[1].T
+    return total
+
+
+def _counted(threshold: float):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of the nodes of two blocks of a class with each other; rows of one ``(root, i, j)`` follow each other."""
+
+        def closed(group: tuple, held: list[tuple]) -> pa.RecordBatch:
+            _, i, j = group
+            first, second = ([h for h in held if h[1] == k] for k in (i, j))
+            sums = {h[0]: 0 for h in held}
+            for p in range(0, len(first), LINK_ROWS):
+                rows = first[p : p + LINK_ROWS]
+                for q in range(p if i == j else 0, len(second), LINK_ROWS):
+                    cols = second[q : q + LINK_ROWS]
+                    shared = _products([h[3] for h in rows], [h[3] for h in cols])
+                    sizes = np.array([len(h[3]) for h in rows], dtype=float)[:, None] + np.array([len(h[3]) for h in cols], dtype=float)[None, :]
+                    near = shared / (sizes - shared) >= threshold
+                    same = i == j and p == q
+                    if same:
+                        np.fill_diagonal(near, False)
+                    for h, n in zip(rows, near @ np.array([h[2] for h in cols], dtype=np.int64)):
+                        sums[h[0]] += int(n)
+                    if not same:
+                        for h, n in zip(cols, near.T @ np.array([h[2] for h in rows], dtype=np.int64)):
+                            sums[h[0]] += int(n)
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], names=["node", "links"])
+
+        group, held = None, {}
+        for batch in batches:
+            for r, i, j, node, block, copies, own in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "block", "copies", "own"))):
+                if (r, i, j) != group:
+                    if held:
+                        yield closed(group, list(held.values()))
+                    group, held = (r, i, j), {}
+                held[node] = (node, block, copies, np.frombuffer(own, np.uint64))  # once, where rows are repeated
+        if held:
+            yield closed(group, list(held.values()))
+
+    return count
+
+
+def linked(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
+    """``(doc_id, class_id, links)``: a row a document, the least id of its class, and how many documents it is linked to.
+
+    Documents are linked where their Jaccard similarity is at least ``threshold``, and a class is what links
+    connect. Similarities are exact. The search for classes finds a pair with a chance of at least
+    ``target``, less the 3 in 100,000 of ``SLACK``, and identical shingle sets always; within a class every two
+    documents are compared, so no link there is lost. Rows that repeat an id and a shingle set are one
+    document; an id with several sets has a row for each, and those are documents like others. Documents
+    of one or two words have one shingle, their whole text. Ids without a word are a class of their own
+    without links; rows with a null id are left out; texts of any length are read whole; an empty table gives
+    no rows. Ids are whole numbers. Only ``doc_id`` and ``text`` are read.
+    """
+    texts, signed = _texts_signed(docs)
+    roots = stored(classes(texts, signed, threshold, target))
+    members = signed.select("doc_id", "node").distinct()
+    copies = members.groupBy("node").agg(F.count("*").alias("copies"))
+    sizes = roots.join(signed.select("node", "size").distinct(), "node")
+    blocks = sizes.groupBy("root").agg(F.ceil(F.sum(8 * F.col("size")) / LINK_BYTES).cast("int").alias("blocks"))
+    wanted = roots.join(blocks, "root").join(copies, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sets = _with_sets(texts, signed, wanted, "root long, node long, block int, blocks int, copies long")
+    others = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))).alias("ij")
+    placed = sets.select("root", "node", "block", "copies", "own", others).select("root", "ij.i", "ij.j", "node", "block", "copies", "own")
+    counted = placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_counted(threshold), "node long, links long")
+    links = stored(counted.groupBy("node").agg(F.sum("links").alias("links")))
+    whole = members.join(roots, "node", "left").join(links, "node", "left").join(copies, "node")
+    whole = stored(whole.select("doc_id", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    least = whole.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    wordless = ids.join(whole, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    return whole.join(least, "root").select("doc_id", "class_id", "links").unionByName(wordless)
+
+
 def redundant(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
-    """``(key)`` of all rows but one of each group that the pairs connect, the one with the least id.
+    """``(key)`` of all rows but one of each group that links connect, the one with the least id.
 
     A row's key is the hash of its id and text, so that an id with several texts takes part with each.
     """
     keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(row_key().alias("key"), F.col("doc_id").alias("id"), "text")
-    members, pairs = node_pairs(keyed.select(F.col("key").alias("doc_id"), "text"), threshold, target)
+    texts, signed = _texts_signed(keyed.select(F.col("key").alias("doc_id"), "text"))
+    members, roots = signed.select("doc_id", "node").distinct(), classes(texts, signed, threshold, target)
     ids = keyed.select("key", "id").distinct()
-    grouped = members.withColumnRenamed("doc_id", "key").join(components(pairs), "node", "left").select("key", F.coalesce("root", "node").alias("root")).join(ids, "key")
+    grouped = members.withColumnRenamed("doc_id", "key").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")).join(ids, "key")
     least = grouped.groupBy("root").agg(F.min(F.struct("id", "key")).alias("least"), F.count("*").alias("n")).where("n > 1")
     return grouped.join(least, "root").where("key <> least.key").select("key").distinct()
 
@@ -390,17 +571,22 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, target: float = T
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 ORACLE_SQL = f"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS w FROM documents
 ), s AS (
   SELECT doc_id, unnest(list_distinct([array_to_string(w[i:i + least({WORDS}, len(w)) - 1], ' ')
          FOR i IN range(1, len(w) - least({WORDS}, len(w)) + 2)])) AS g FROM w WHERE len(w) > 0
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, k::DOUBLE / (x.n + y.n - k) AS jaccard
-FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE k::DOUBLE / (x.n + y.n - k) >= {THRESHOLD}
+p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (
+  SELECT doc_a, doc_b FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE k::DOUBLE / (x.n + y.n - k) >= {THRESHOLD}
+), l AS (SELECT doc_a AS x, doc_b AS y FROM near UNION ALL SELECT doc_b, doc_a FROM near),
+r AS (SELECT doc_id, doc_id AS other FROM documents WHERE doc_id IS NOT NULL UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.other),
+c AS (SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id),
+k AS (SELECT x, count(*) AS links FROM l GROUP BY x)
+SELECT c.doc_id, c.class_id, coalesce(k.links, 0) AS links FROM c LEFT JOIN k ON k.x = c.doc_id
 """

@@ -179,3 +179,65 @@ def test_found_chance(depth):
 def test_tables_without_a_word(spark):
     df = spark.createDataFrame([(1, ""), (2, None), (3, "..."), (None, None)], SCHEMA)
     assert jaccard.near_pairs(df).count() == 0 and jaccard.one_of_each(df).count() == 4
+
+
+def brute_classes(rows):
+    """Class and number of links of each id, by union and find over all pairs."""
+    parent, links = {i: i for i, _ in rows if i is not None}, {i: 0 for i, _ in rows if i is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in brute(rows):
+        links[a] += 1
+        links[b] += 1
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    return {i: (root(i), links[i]) for i in parent}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_a_row_a_document_with_class_and_links(spark, monkeypatch, small):
+    if small:  # many blocks and products, sets by a shuffle
+        for name, value in (("LINK_BYTES", 1500), ("LINK_ROWS", 2), ("LINK_SHINGLES", 7), ("MOST_BROADCAST", 0)):
+            monkeypatch.setattr(jaccard, name, value)
+    rows = corpus()
+    repeated = [*rows, rows[3], rows[-1], (1005, None)]
+    got = jaccard.linked(spark.createDataFrame(repeated, SCHEMA)).collect()
+    assert {r.doc_id: (r.class_id, r.links) for r in got} == brute_classes(rows) and len(got) == len(rows) - 1
+    assert jaccard.linked(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_links_of_an_id_with_two_texts(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(5, one), (5, two), (9, one), (7, two + " more")]
+    got = jaccard.linked(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.class_id, r.links) for r in got) == [(5, 5, 1), (5, 5, 1), (7, 5, 1), (9, 5, 1)]
+
+
+@pytest.mark.parametrize("use", [jaccard.linked, jaccard.one_of_each])
+def test_a_group_of_near_copies_is_joined_without_all_its_pairs(spark, monkeypatch, use):
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k:])) for i in range(400) for k in [rng.randrange(80)]]
+    compared = []
+    real = jaccard._confirmed
+    monkeypatch.setattr(jaccard, "_confirmed", lambda pairs, *rest: compared.append(pairs.count()) or real(pairs, *rest))
+    got = use(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert 0 < sum(compared) < 32 * 400 < 400 * 399 / 2 / 6
+    if use is jaccard.linked:
+        assert {(r.class_id, r.links) for r in got} == {(0, 399)}
+    else:
+        assert [r.doc_id for r in got] == [0]
+
+
+def test_classes_hold_links_that_the_least_node_lacks(spark):
+    """Both ends of a chain are far apart; what the least node under a prefix isn't linked to is compared with the others."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[15 * i : 15 * i + 100])) for i in range(20)]
+    want = brute_classes(rows)
+    assert {c for c, _ in want.values()} == {0} and max(n for _, n in want.values()) < 8
+    got = jaccard.linked(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: (r.class_id, r.links) for r in got} == want
