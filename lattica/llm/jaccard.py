@@ -13,8 +13,8 @@ Documents with the same shingle set are one node throughout, so copies cost noth
 ``near_pairs`` returns every pair, whose number grows with the square of a group of near copies. ``linked`` and
 ``one_of_each`` need classes and counts alone, and don't list pairs. Under each prefix of ``floor_depth`` hashes
 all nodes are first compared with the least one, which joins most of a group; after that only nodes of different
-classes under one prefix are compared with each other, so the classes are those of all candidates. Links are then
-counted between all nodes of a class, block by block, as products of their shingle matrices.
+classes under one prefix are compared with each other, so the classes are those of all candidates. The latter, and
+the links between all nodes of a class, are found block by block, as products of shingle matrices.
 """
 
 from __future__ import annotations
@@ -435,7 +435,7 @@ def classes(texts: DataFrame, signed: DataFrame, threshold: float = THRESHOLD, t
         .join(placed.select("bucket", F.col("root").alias("y"), F.col("node").alias("b")), ["bucket", "y"])
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     )
-    more = _confirmed(_alike(across, signed, threshold), texts, signed, threshold)
+    more = _joining(_alike(across, signed, threshold), roots, texts, signed, threshold)
     return roots if more.isEmpty() else components(links.unionByName(more))
 
 
@@ -465,45 +465,76 @@ def _products(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def _groups(batches: Iterator[pa.RecordBatch], mark: str) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The nodes ``(node, block, mark, set)`` of each ``(root, i, j)``, whose rows follow each other; once, where rows are repeated."""
+    group, held = None, {}
+    for batch in batches:
+        for r, i, j, node, block, own_mark, own in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "block", mark, "own"))):
+            if (r, i, j) != group:
+                if held:
+                    yield group, list(held.values())
+                group, held = (r, i, j), {}
+            held[node] = (node, block, own_mark, np.frombuffer(own, np.uint64))
+    if held:
+        yield group, list(held.values())
+
+
+def _compared(group: tuple, held: list[tuple], threshold: float) -> Iterator[tuple[list[tuple], list[tuple], np.ndarray, bool]]:
+    """Parts of the two blocks of a group, which of their nodes are linked, and whether both parts are the same."""
+    _, i, j = group
+    first, second = ([h for h in held if h[1] == k] for k in (i, j))
+    for p in range(0, len(first), LINK_ROWS):
+        rows = first[p : p + LINK_ROWS]
+        for q in range(p if i == j else 0, len(second), LINK_ROWS):
+            cols = second[q : q + LINK_ROWS]
+            shared = _products([h[3] for h in rows], [h[3] for h in cols])
+            sizes = np.array([len(h[3]) for h in rows], dtype=float)[:, None] + np.array([len(h[3]) for h in cols], dtype=float)[None, :]
+            near = shared / (sizes - shared) >= threshold
+            if same := i == j and p == q:
+                np.fill_diagonal(near, False)
+            yield rows, cols, near, same
+
+
 def _counted(threshold: float):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links of the nodes of two blocks of a class with each other; rows of one ``(root, i, j)`` follow each other."""
-
-        def closed(group: tuple, held: list[tuple]) -> pa.RecordBatch:
-            _, i, j = group
-            first, second = ([h for h in held if h[1] == k] for k in (i, j))
+        """Links of the nodes of two blocks of a class with each other."""
+        for group, held in _groups(batches, "copies"):
             sums = {h[0]: 0 for h in held}
-            for p in range(0, len(first), LINK_ROWS):
-                rows = first[p : p + LINK_ROWS]
-                for q in range(p if i == j else 0, len(second), LINK_ROWS):
-                    cols = second[q : q + LINK_ROWS]
-                    shared = _products([h[3] for h in rows], [h[3] for h in cols])
-                    sizes = np.array([len(h[3]) for h in rows], dtype=float)[:, None] + np.array([len(h[3]) for h in cols], dtype=float)[None, :]
-                    near = shared / (sizes - shared) >= threshold
-                    same = i == j and p == q
-                    if same:
-                        np.fill_diagonal(near, False)
-                    for h, n in zip(rows, near @ np.array([h[2] for h in cols], dtype=np.int64)):
+            for rows, cols, near, same in _compared(group, held, threshold):
+                for own, others, m in ((rows, cols, near), (cols, rows, near.T))[: 1 if same else 2]:
+                    for h, n in zip(own, m @ np.array([x[2] for x in others], dtype=np.int64)):
                         sums[h[0]] += int(n)
-                    if not same:
-                        for h, n in zip(cols, near.T @ np.array([h[2] for h in rows], dtype=np.int64)):
-                            sums[h[0]] += int(n)
-            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], names=["node", "links"])
-
-        group, held = None, {}
-        for batch in batches:
-            for r, i, j, node, block, copies, own in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "block", "copies", "own"))):
-                if (r, i, j) != group:
-                    if held:
-                        yield closed(group, list(held.values()))
-                    group, held = (r, i, j), {}
-                held[node] = (node, block, copies, np.frombuffer(own, np.uint64))  # once, where rows are repeated
-        if held:
-            yield closed(group, list(held.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], names=["node", "links"])
 
     return count
 
 
+def _joining(pairs: DataFrame, roots: DataFrame, texts: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)``: a link between each two classes that one joins, among ``pairs``. Each set is sent once to a pair of blocks with a candidate."""
+    nodes = components(pairs)
+    sizes = nodes.join(signed.select("node", "size").distinct(), "node")
+    blocks = sizes.groupBy("root").agg(F.ceil(F.sum(8 * F.col("size")) / LINK_BYTES).cast("int").alias("blocks"))
+    place = stored(nodes.join(blocks, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    wanted = place.join(roots.select("node", F.col("root").alias("own_class")), "node", "left").withColumn("class", F.coalesce("own_class", "node")).drop("own_class")
+    sets = _with_sets(texts, signed, wanted, "root long, node long, block int, class long")
+    x, y = (place.select("root", F.col("node").alias(n), F.col("block").alias(c)) for n, c in (("a", "x"), ("b", "y")))
+    asked = pairs.join(x, "a").join(y.drop("root"), "b").select("root", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).distinct()
+    sides = asked.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    placed = sets.join(sides, ["root", "block"]).select("root", "i", "j", "node", "block", "class", "own")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, held in _groups(batches, "class"):
+            links: dict[tuple, tuple] = {}
+            for rows, cols, near, _ in _compared(group, held, threshold):
+                p, q = (np.array([h[2] for h in side]) for side in (rows, cols))
+                for i, j in zip(*np.nonzero(near & (p[:, None] != q[None, :]))):
+                    links.setdefault((min(p[i], q[j]), max(p[i], q[j])), (min(rows[i][0], cols[j][0]), max(rows[i][0], cols[j][0])))
+            a, b = zip(*links.values()) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return stored(placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(join, "a long, b long"))
+
+
 def linked(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
     """``(doc_id, class_id, links)``: a row a document, the least id of its class, and how many documents it is linked to.
 

@@ -233,8 +233,10 @@ def test_a_group_of_near_copies_is_joined_without_all_its_pairs(spark, monkeypat
         assert [r.doc_id for r in got] == [0]
 
 
-def test_classes_hold_links_that_the_least_node_lacks(spark):
+@pytest.mark.parametrize("size", [1 << 23, 1500])
+def test_classes_hold_links_that_the_least_node_lacks(spark, monkeypatch, size):
     """Both ends of a chain are far apart; what the least node under a prefix isn't linked to is compared with the others."""
+    monkeypatch.setattr(jaccard, "LINK_BYTES", size)
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[15 * i : 15 * i + 100])) for i in range(20)]
     want = brute_classes(rows)
