@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.llm.jaccard import components
 from lattica.runtime import ship, stored
 
 THRESHOLD = 0.95
@@ -245,12 +246,31 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, key: str = "vec
     return found
 
 
+def linked(table: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding", target: float = TARGET) -> DataFrame:
+    """``(vec_id, class_id, links)``: a row an id, the least id of its class, and how many other ids it is linked to.
+
+    Ids are linked where ``near_vectors`` gives a pair, and a class is what links connect. Ids without a usable
+    vector are a class of their own without links; rows with a null id are left out.
+    """
+    pairs = near_vectors(table, threshold, key, vector, target=target).select("a", "b")
+    both = pairs.select(F.col("a").alias("vec_id")).unionByName(pairs.select(F.col("b").alias("vec_id")))
+    links = both.groupBy("vec_id").agg(F.count("*").alias("links"))
+    classes = components(pairs).select(F.col("node").alias("vec_id"), F.col("root").alias("class_id"))
+    ids = table.select(F.col(key).cast("long").alias("vec_id")).where("vec_id IS NOT NULL").distinct()
+    whole = ids.join(classes, "vec_id", "left").join(links, "vec_id", "left")
+    return whole.select("vec_id", F.coalesce("class_id", "vec_id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 ORACLE_SQL = f"""
-WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)
-SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.v, y.v) AS cosine
-FROM v x JOIN v y ON x.id < y.id WHERE list_cosine_similarity(x.v, y.v) >= {THRESHOLD}
+WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id < y.id WHERE list_cosine_similarity(x.v, y.v) >= {THRESHOLD}),
+l AS (SELECT a AS x, b AS y FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT id, id AS other FROM v WHERE id IS NOT NULL UNION SELECT r.id, l.y FROM r JOIN l ON l.x = r.other),
+c AS (SELECT id, min(other) AS class_id FROM r GROUP BY id),
+k AS (SELECT x, count(*) AS links FROM l GROUP BY x)
+SELECT c.id AS vec_id, c.class_id, coalesce(k.links, 0) AS links FROM c LEFT JOIN k ON k.x = c.id
 """

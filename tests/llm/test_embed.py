@@ -86,3 +86,19 @@ def test_edge_cases(spark):
     assert embed.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     assert embed.near_vectors(spark.createDataFrame([(1, v)], SCHEMA)).count() == 0
     assert found(embed.near_vectors(spark.createDataFrame([(1, [2.0]), (2, [5.0]), (3, [-1.0])], SCHEMA))) == {(1, 2): 1.0}
+
+
+def test_a_row_an_id_with_class_and_links(spark, sf):
+    """A group of n near vectors has n rows; SQL says the same."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(9)
+    hot = rng.normal(size=32)
+    rows = [(i, hot + rng.normal(size=32) * 0.1) for i in range(60)] + [(100 + i, rng.normal(size=32)) for i in range(40)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    got = embed.linked(spark.createDataFrame([*rows, rows[0], (None, rows[1][1]), (900, None)], SCHEMA)).collect()
+    assert len(got) == 101 and {(r.class_id, r.links) for r in got if r.vec_id < 60} == {(0, 59)}
+    assert all((r.class_id, r.links) == (r.vec_id, 0) for r in got if r.vec_id >= 60)
+    db = duckdb.connect()
+    db.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    db.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert sorted(db.execute(embed.ORACLE_SQL).fetchall()) == sorted(tuple(r) for r in got if r.vec_id != 900)
