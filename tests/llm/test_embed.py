@@ -102,3 +102,16 @@ def test_a_row_an_id_with_class_and_links(spark, sf):
     db.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
     db.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
     assert sorted(db.execute(embed.ORACLE_SQL).fetchall()) == sorted(tuple(r) for r in got if r.vec_id != 900)
+
+
+def test_recall_is_measured_where_the_sample_has_few_pairs(spark, monkeypatch):
+    """Rings that find next to nothing don't end the search because the sample can't tell."""
+    monkeypatch.setattr(embed, "RINGS", (1e-6, 2e-6, 3e-6, 1.0))
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(600, 16))
+    near = base[:12] + rng.normal(size=(12, 16)) * 0.25
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate([*base, *near])]
+    want = {p for p, c in brute(rows, embed.THRESHOLD).items() if c < 1 - 1e-9}
+    assert len(want) > 4
+    monkeypatch.setattr(embed, "LEAST_PAIRS", 10**6)
+    assert set(found(embed.near_vectors(spark.createDataFrame(rows, SCHEMA)))) == want
