@@ -14,6 +14,11 @@ reach all else at the same distance and at the same cost.
 
 Windows are written with one byte a letter, a hash of the word's beginning up to that letter, so that
 zstandard matches words from their beginnings on and never syllables in their midst.
+
+Every labelled document counts, with all of its windows: three fifths of the ids give the words that
+are told apart and train the dictionaries, the rest give the margin and the thresholds. A trainer holds
+``TRAIN_BYTES``; where there is more, each part of the windows trains a dictionary of ``WIDER`` times the
+size, and these train the next one, until a single part is left.
 """
 
 from __future__ import annotations
@@ -28,15 +33,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.runtime import ship
+from lattica.runtime import ship, stored
 
-#: At most so many labelled documents of either class are looked at, those with the least hashed ids.
-SAMPLE_TOXIC, SAMPLE_ORDINARY = 3_000, 6_000
-#: At most so many windows of a labelled document, evenly spaced, train the dictionaries.
-SAMPLE_WINDOWS = 192
+#: Bytes of windows in one run of the trainer, and how much larger than the last one the dictionaries of parts are.
+TRAIN_BYTES, WIDER = 1 << 23, 4
+#: Labelled ids, and ids of near copies, up to this count are broadcast; beyond it they are joined by a shuffle. The
+#: result is the same.
+MOST_BROADCAST = 2_000_000
 WINDOW, STRETCH = 12, 16
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 16, 1 << 10
 #: Letters of the shortest beginnings looked at, the share of ordinary documents that makes a beginning ordinary, the
@@ -45,6 +51,8 @@ BEGINNING, USUAL, RECURS, OPEN_WINDOW = 3, 0.002, 0.01, 12
 MARGINS = tuple(range(1, 9))
 MOST_FALSE = 0.005
 MOST_CACHED = 200_000
+#: How a trained dictionary begins, and the three offsets that the trainer always writes before the content.
+_MAGIC, _OFFSETS = (b"".join(k.to_bytes(4, "little") for k in ks) for ks in ((0xEC30A437,), (1, 4, 8)))
 _SPLIT = re.compile(r"[\W_]+")
 
 
@@ -143,18 +151,33 @@ def measure(near: np.ndarray) -> tuple[float, int]:
     return float(near.mean()), int((total[min(STRETCH, len(near)) :] - total[: max(1, len(total) - STRETCH)]).max())
 
 
-def _apart(docs: list[list[str]]) -> list[list[str]]:
-    """The documents without those that share half of six minimum word hashes, over long words, with an earlier one."""
-    seen: set[tuple[int, int]] = set()
-    out = []
-    for words in docs:
-        own = set(words)
-        codes = [w.encode("utf-8", "replace") for w in own if len(w) >= 7] or [w.encode("utf-8", "replace") for w in own] or [b""]
-        least = {(k, min(zlib.crc32(c, 0x9E3779B1 * (k + 1) & 0xFFFFFFFF) for c in codes)) for k in range(6)}
-        if len(least & seen) < 3:
-            out.append(words)
-        seen |= least
-    return out
+def _least(words: list[str], known: dict[str, list[int]]) -> list[int]:
+    """Six minimum word hashes over the long words, or over all where none is long."""
+    own = set(words)
+    if len(known) > MOST_CACHED:
+        known.clear()
+    hashes = []
+    for w in [w for w in own if len(w) >= 7] or own:
+        if w not in known:
+            code = w.encode("utf-8", "replace")
+            known[w] = [zlib.crc32(code, 0x9E3779B1 * (k + 1) & 0xFFFFFFFF) for k in range(6)]
+        hashes.append(known[w])
+    return [min(column) for column in zip(*hashes)]
+
+
+def _chosen(ids: DataFrame) -> DataFrame:
+    """``ids``, stored, and marked to be broadcast where they are few."""
+    held = stored(ids)
+    return F.broadcast(held) if held.count() <= MOST_BROADCAST else held
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """The documents without those that share half of six minimum word hashes with an earlier one of their class."""
+    place = F.struct("doc_id", "node").alias("place")
+    codes = rows.select("toxic", place, F.posexplode("least").alias("k", "code"))
+    earliest = codes.groupBy("toxic", "k", "code").agg(F.min("place").alias("earliest"))
+    shared = codes.join(earliest, ["toxic", "k", "code"]).where("earliest < place").groupBy("place").count().where("count >= 3")
+    return rows.join(_chosen(shared.select("place.doc_id", "place.node")), ["doc_id", "node"], "left_anti")
 
 
 def _beginnings(word: str) -> list[str]:
@@ -162,97 +185,204 @@ def _beginnings(word: str) -> list[str]:
     return [*(word[:k] for k in range(min(BEGINNING, len(word)), min(len(word), 64) + 1)), word + " "]
 
 
-def build(toxic: list[list[str]], ordinary: list[list[str]]) -> Distance:
+def _counted(among: frozenset[str] | None):
+    """In how many documents each beginning, or each of ``among``, occurs, added up as far as a task holds them."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter[str] = Counter()
+        known: dict[str, list[str]] = {}
+
+        def sums() -> pd.DataFrame:
+            out = pd.DataFrame({"beginning": list(counts), "n": list(counts.values())})
+            counts.clear()
+            return out
+
+        for rows in batches:
+            for text in rows["words"]:
+                if len(known) > MOST_CACHED:
+                    known.clear()
+                own: set[str] = set()
+                for w in set(text.split(" ")):
+                    if w not in known:
+                        known[w] = [b for b in _beginnings(w) if among is None or b in among]
+                    own.update(known[w])
+                counts.update(own)
+                if len(counts) > MOST_CACHED:
+                    yield sums()
+        yield sums()
+
+    return count
+
+
+def _telling(rows: DataFrame, ordinary: int, toxic: int) -> frozenset[str]:
+    """The beginnings that recur in toxic documents and are those of hardly any word of ordinary ones.
+
+    Those that recur are in one in a hundred toxic documents, so there are at most a hundred times as many as in one document.
+    """
+
+    def counts(kind: int, among: frozenset[str] | None = None) -> DataFrame:
+        found = rows.where(F.col("toxic") == kind).select("words").mapInPandas(_counted(among), "beginning string, n long")
+        return found.groupBy("beginning").agg(F.sum("n").alias("n"))
+
+    most, least = max(2, USUAL * ordinary), max(3, RECURS * toxic)
+    recur = frozenset(r.beginning for r in counts(1).where(F.col("n") >= least).collect())
+    return recur - {r.beginning for r in counts(0, recur).where(F.col("n") >= most).collect()}
+
+
+def _left(telling: frozenset[str]) -> Column:
+    """Of ``words``, those with a telling beginning."""
+
+    @F.pandas_udf("string")
+    def left(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, bool] = {}
+        for texts in batches:
+            out = []
+            for text in texts:
+                words = text.split(" ")
+                if len(known) > MOST_CACHED:
+                    known.clear()
+                for w in words:
+                    if w not in known:
+                        known[w] = not telling.isdisjoint(_beginnings(w))
+                out.append(" ".join([w for w in words if known[w]]))
+            yield pd.Series(out, dtype=object)
+
+    return left("words")
+
+
+def _content(dictionary: bytes) -> bytes:
+    """What a trained dictionary holds behind its statistics."""
+    at = dictionary.find(_OFFSETS) if dictionary.startswith(_MAGIC) else -1
+    return dictionary[at + len(_OFFSETS) :] if at >= 0 else dictionary
+
+
+def dictionary(texts: DataFrame, size: int, segment: int, window: int) -> bytes:
+    """A dictionary trained on the windows of all ``(doc_id, node, words)``; part by part where they outgrow one trainer."""
+    rows = texts.select("doc_id", "node", (F.octet_length("words") + 1).cast("long").alias("bytes"), F.col("words").cast("binary").alias("data"))
+    first = True
+    while total := rows.agg(F.sum("bytes")).first()[0]:
+        parts = -(-total // TRAIN_BYTES)
+        rows = stored(rows.groupBy(F.pmod("node", F.lit(parts))).applyInPandas(_trainer(size, segment, window, first, parts == 1), "doc_id long, node long, bytes long, data binary"))
+        if parts == 1:
+            return bytes(rows.first().data)
+        first = False
+    return b""
+
+
+def _trainer(size: int, segment: int, window: int, first: bool, last: bool):
+    most, wider, offsets = TRAIN_BYTES, WIDER * size, 3 * segment
+
+    def train_part(rows: pd.DataFrame) -> pd.DataFrame:
+        coded, out, samples, held = Coder(), [], [], 0
+
+        def end() -> None:
+            made = trained(samples, size if last else wider, segment)
+            out.append(made if last else _content(made))
+            samples.clear()
+
+        for data in rows.sort_values(["doc_id", "node"], kind="stable")["data"]:
+            new = coded(data.decode().split(" "), window) if first else [data[i : i + offsets] for i in range(0, len(data), offsets)]
+            for sample in new:
+                samples.append(sample)
+                held += len(sample)
+                if held > 2 * most and not last:  # a part with long documents
+                    end()
+                    held = 0
+        if samples:
+            end()
+        at = int(rows["node"].min())
+        return pd.DataFrame({"doc_id": range(len(out)), "node": [at + i for i in range(len(out))], "bytes": [len(x) for x in out], "data": out})
+
+    return train_part
+
+
+def build(rows: DataFrame) -> Distance:
     """Dictionaries from the words of labelled documents; near copies count once, or their chance words would look telling."""
-    toxic, ordinary, coded = _apart(toxic), _apart(ordinary), Coder()
-    usual, seen = (Counter(b for words in docs for b in {b for w in set(words) for b in _beginnings(w)}) for docs in (ordinary, toxic))
-    most, least = max(2, USUAL * len(ordinary)), max(3, RECURS * len(toxic))
-    left = {w for words in toxic for w in words if any(seen[b] >= least and usual[b] < most for b in _beginnings(w))}
-    base = trained([w for words in ordinary for w in coded(words)], ORDINARY_BYTES, 24)
-    open_words = [w for words in toxic for w in coded([x for x in words if x in left], OPEN_WINDOW)]
-    own = trained(open_words, TOXIC_BYTES, 32) if open_words else b""
+    kept = _apart(rows)
+    n = {r.toxic: r["count"] for r in kept.groupBy("toxic").count().collect()}
+    if not n.get(0) or not n.get(1):
+        return Distance()
+    open_words = stored(kept.where("toxic = 1").select("doc_id", "node", _left(_telling(kept, n[0], n[1])).alias("words"))).where("words <> ''")
+    own = dictionary(open_words, TOXIC_BYTES, 32, OPEN_WINDOW)
+    base = dictionary(kept.where("toxic = 0"), ORDINARY_BYTES, 24, WINDOW) if own else b""
     return Distance(base + own, base + bytes(len(own))) if base and own else Distance()
 
 
-def calibrate(model: Distance, labels: np.ndarray, shares: np.ndarray, stretches: np.ndarray) -> Distance:
-    """Margin and thresholds from documents the dictionaries haven't seen.
+def quantile(values: list[int], counts: list[int], q: float) -> float:
+    """That of numbers of which each of ``values``, in order, occurs so often."""
+    upto = np.cumsum(counts)
+    at = q * (int(upto[-1]) - 1)
+    low, high = (values[int(np.searchsorted(upto, k, side="right"))] for k in (math.floor(at), math.ceil(at)))
+    return low + (high - low) * (at - math.floor(at))
+
+
+def calibrate(model: Distance, figures: DataFrame) -> Distance:
+    """Margin and thresholds from ``(toxic, k, share, stretch)`` of documents the dictionaries haven't seen, k the margin's place.
 
     For each margin the share is the least at which at most ``MOST_FALSE`` of ordinary documents are
     called toxic; the margin that finds the most toxic ones is taken, the larger where two find as many.
     """
-    best = (0.0,)
-    bad, good = labels == 1, labels == 0
-    for k, margin in enumerate(MARGINS):
-        steps = np.unique(shares[:, k][shares[:, k] > 0])
-        for lower, step in zip(np.concatenate(([0.0], steps)), steps):
-            said = shares[:, k] >= step
-            if said[good].mean() <= MOST_FALSE:
-                best = max(best, (said[bad].mean() - said[good].mean(), margin, (lower + step) / 2, k))
-                break
-    if len(best) == 1 or best[0] <= 0:
+    counts = stored(figures.groupBy("k", "share", "stretch").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")))
+    n = counts.where("k = 0").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
+    if not n.bad or not n.good:
+        return Distance()
+    falling = Window.partitionBy("k").orderBy(F.desc("share"))
+    upto = falling.rowsBetween(Window.unboundedPreceding, 0)
+    steps = counts.where("share > 0").groupBy("k", "share").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    steps = steps.select("k", "share", F.sum("bad").over(upto).alias("bad"), F.sum("good").over(upto).alias("good"), F.lead("share", 1, 0.0).over(falling).alias("lower"))
+    least = steps.where(F.col("good") / n.good <= MOST_FALSE).groupBy("k").agg(F.min(F.struct("share", "lower", "bad", "good")).alias("s")).collect()
+    best = max(((r.s.bad / n.bad - r.s.good / n.good, MARGINS[r.k], (r.s.lower + r.s.share) / 2, r.k) for r in least), default=(0.0,))
+    if best[0] <= 0:
         return model
     _, model.margin, model.share, k = best
+    good = counts.where(F.col("k") == k).groupBy("stretch").agg(F.sum("good").alias("good")).where("good > 0").orderBy("stretch").collect()
     # A stretch is enough where twice as many windows as in any ordinary document lie close together.
-    model.stretch = float(2 * max(2, np.quantile(stretches[good, k], 0.999)))
+    model.stretch = float(2 * max(2, quantile([r.stretch for r in good], [r.good for r in good], 0.999)))
     return model
 
 
-def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id has a label: ``(doc_id, node, text, toxic, first)``, equal rows with equal nodes."""
     own = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = own.where("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(own.where("toxic = 0").orderBy(*order).limit(SAMPLE_ORDINARY))
-    chosen = sample.withColumn("first", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) < 3)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by the two sample sizes
-    # One text of each id, so that rows that repeat an id can't outgrow the sample.
-    return rows.groupBy("doc_id", "toxic", "first").agg(F.min("text").alias("text"))
-
-
-def _spaced(words: list[str]) -> list[str]:
-    """All words, or those of ``SAMPLE_WINDOWS`` windows evenly spaced over the text."""
-    n = -(-len(words) // WINDOW)
-    if n <= SAMPLE_WINDOWS:
-        return words
-    starts = [i * n // SAMPLE_WINDOWS * WINDOW for i in range(SAMPLE_WINDOWS)]
-    return [w for at in starts for w in words[at : at + WINDOW]]
+    chosen = _chosen(own.withColumn("first", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) < 3))
+    return docs.select("doc_id", "text").join(chosen, "doc_id").withColumn("node", F.xxhash64("doc_id", "text"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Distance:
-    """Dictionaries from three fifths of a bounded labelled sample, thresholds from the rest.
+    """Dictionaries from three fifths of the labelled documents, thresholds from the rest.
 
     Without labelled documents of both classes in both parts nothing is ever called toxic. Label rows
-    without an id or a label are left out; repeated ones count as their mean.
+    without an id or a label are left out; repeated ones count as their mean. Different texts of one id
+    all have its label; repeated rows count once.
     """
     ship(docs.sparkSession)
-    rows = _sampled(docs, labels)
+    rows = _labelled(docs, labels)
 
-    @F.pandas_udf("string")
-    def spaced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("words string, least array<long>")
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known: dict[str, list[int]] = {}
         for texts in batches:
-            yield pd.Series([" ".join(_spaced(words_of(t))) for t in texts], dtype=object)
+            words = [words_of(t) for t in texts]
+            yield pd.DataFrame({"words": [" ".join(w) for w in words], "least": [_least(w, known) for w in words]})
 
-    first = rows.where("first").select("doc_id", "toxic", spaced("text").alias("words")).toPandas()
-    texts = {k: [w.split(" ") for w in g.sort_values("doc_id")["words"] if w] for k, g in first.groupby("toxic")}
-    if not texts.get(0) or not texts.get(1):
-        return Distance()
-    model = build(texts[1], texts[0])
+    first = rows.where("first").select("doc_id", "node", "toxic", "text").distinct()
+    model = build(stored(first.select("doc_id", "node", "toxic", split("text").alias("f")).select("doc_id", "node", "toxic", "f.words", "f.least")).where("words <> ''"))
     if not model.toxic:
         return model
 
-    @F.pandas_udf("share array<double>, stretch array<int>")
-    def figures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<struct<share:double,stretch:int>>")
+    def figures(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = model.distances()
         for texts in batches:
             out = []
             for t in texts:
                 d = of(words_of(t))
-                out.append([measure(d >= m) for m in MARGINS])
-            yield pd.DataFrame({"share": [[s for s, _ in r] for r in out], "stretch": [[n for _, n in r] for r in out]})
+                out.append([dict(zip(("share", "stretch"), measure(d >= m))) for m in MARGINS])
+            yield pd.Series(out, dtype=object)
 
-    second = rows.where("NOT first").select("toxic", figures("text").alias("f")).select("toxic", "f.share", "f.stretch").toPandas()
-    y = second["toxic"].to_numpy()
-    if not (y == 0).any() or not (y == 1).any():
-        return Distance()
-    return calibrate(model, y, np.array(second["share"].tolist()), np.array(second["stretch"].tolist()))
+    # Stored before they are taken apart, or the plan would also score texts without a label.
+    second = stored(rows.where("NOT first").select("doc_id", "node", "toxic", figures("text").alias("f"))).distinct()
+    return calibrate(model, second.select("toxic", F.posexplode("f").alias("k", "f")).select("toxic", "k", "f.share", "f.stretch"))
 
 
 def scorer(model: Distance) -> Column:

@@ -120,6 +120,61 @@ def test_toxicity_edge_cases(spark, labelled):
     assert toxicity.measure(np.zeros(0, bool)) == (0.0, 0)
 
 
+def test_toxicity_learns_from_every_window(spark):
+    """Words that stand in every other window only, of documents with 384 windows, are learned."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(80):
+        own = ["".join(rng.choices("abcdefghijklm", k=8)) for _ in range(300)]
+        words = rng.choices(own, k=384 * toxicity.WINDOW)
+        if i % 2:
+            for at in range(toxicity.WINDOW, len(words), 2 * toxicity.WINDOW):
+                words[at : at + 6] = rng.choices(["zorbl", "quixn", "yottr", "wumps", "vexil", "snork"], k=6)
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.detect(docs, docs.selectExpr("doc_id", "int(doc_id % 2) toxic")).collect()
+    assert len(got) == 80 and all(r.toxic == bool(r.doc_id % 2) for r in got)
+
+
+def test_toxicity_takes_every_labelled_document(spark):
+    docs = spark.range(9300).selectExpr("id doc_id", "concat('text ', id) text")
+    docs = docs.union(docs.where("doc_id < 50")).union(docs.where("doc_id < 20").selectExpr("doc_id", "'another' text"))
+    rows = toxicity._labelled(docs, spark.range(9300).selectExpr("id doc_id", "int(id % 3 = 0) toxic"))
+    assert rows.count() == 9370 and rows.select("doc_id", "node").distinct().count() == 9320
+    assert {r.toxic: r["count"] for r in rows.where("doc_id >= 50").groupBy("toxic").count().collect()} == {0: 6167, 1: 3083}
+    kept = toxicity._apart(rows.where("doc_id < 30").selectExpr("doc_id", "node", "toxic", "array(doc_id, doc_id, doc_id, 1L, 2L, IF(doc_id < 15, 3L, doc_id)) least").distinct())
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, *range(15, 30)]
+
+
+def test_toxicity_trains_part_by_part(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 1 << 17)
+    rng = random.Random(9)
+    common = ["".join(rng.choices("abcdefghijklm", k=9)) for _ in range(60)]
+    rows = [(i, i * 0x9E3779B97F4A7C15 % 2**63, " ".join(rng.choices(common, k=50))) for i in range(2000)]
+    made = toxicity.dictionary(spark.createDataFrame(rows, "doc_id long, node long, words string"), 1 << 13, 24, toxicity.WINDOW)
+    assert len(made) <= 1 << 13 and made.startswith(toxicity._MAGIC)
+    assert sum(toxicity.beginning_codes(w)[:6] in made for w in common) >= 54  # parts are weighed, not windows, so a few may go
+
+
+def test_toxicity_thresholds_as_brute_force(spark):
+    rng = np.random.default_rng(5)
+    y = (np.arange(2000) % 4 == 0).astype(int)
+    shares = np.where(rng.random((2000, 8)) < 0.5, 0.0, np.round(rng.random((2000, 8)) * (0.3 + 0.7 * y[:, None]), 3))
+    stretches = np.minimum(16, rng.geometric(0.4, (2000, 8)))
+    rows = [(int(y[i]), k, float(shares[i, k]), int(stretches[i, k])) for i in range(2000) for k in range(8)]
+    got = toxicity.calibrate(toxicity.Distance(), spark.createDataFrame(rows, "toxic int, k int, share double, stretch int"))
+    best = (0.0,)
+    for k, margin in enumerate(toxicity.MARGINS):
+        steps = [0.0, *np.unique(shares[:, k][shares[:, k] > 0])]
+        for lower, step in zip(steps, steps[1:]):
+            said = shares[:, k] >= step
+            if said[y == 0].mean() <= toxicity.MOST_FALSE:
+                best = max(best, (said[y == 1].mean() - said[y == 0].mean(), margin, (lower + step) / 2, k))
+                break
+    assert (got.margin, got.share) == (best[1], pytest.approx(best[2]))
+    assert got.stretch == pytest.approx(2 * max(2, np.quantile(stretches[y == 0, best[3]], 0.999)))
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
 def test_feistel_is_a_permutation(size):
     f = pii.Feistel(b"k", "t", size)
