@@ -36,6 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattica.llm.textkernel import _pieces, slices
 from lattica.runtime import ship, stored
 
 #: Bytes of windows in one run of the trainer, and how much larger than the last one the dictionaries of parts are.
@@ -53,7 +54,14 @@ MOST_FALSE = 0.005
 MOST_CACHED = 200_000
 #: How a trained dictionary begins, and the three offsets that the trainer always writes before the content.
 _MAGIC, _OFFSETS = (b"".join(k.to_bytes(4, "little") for k in ks) for ks in ((0xEC30A437,), (1, 4, 8)))
-_SPLIT = re.compile(r"[\W_]+")
+_SPLIT, _FOREIGN = re.compile(r"[\W_]+"), re.compile(r"[^\w\x00-\x7f]+")
+#: Bytes of UTF-8 that belong to words, once other characters beyond ASCII are gone.
+_WORDY = np.zeros(256, dtype=bool)
+_WORDY[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+#: Where the hash of a word begins and what each step multiplies it by.
+_SEED, _PRIME = 0xCBF29CE484222325, 0x100000001B3
+#: Characters coded at a time, windows compressed at a time, and bytes of the longest word coded together with all others.
+SLICE, BLOCK, LONG = 1 << 20, 1 << 14, 64
 
 
 def words_of(text: str | None) -> list[str]:
@@ -65,9 +73,9 @@ def words_of(text: str | None) -> list[str]:
 
 def beginning_codes(word: str) -> bytes:
     """A byte for each byte of the word and one for its end, each a hash of everything up to it."""
-    h, out = 0xCBF29CE484222325, bytearray()
+    h, out = _SEED, bytearray()
     for byte in word.encode("utf-8", "replace") + b" ":
-        h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        h = (h ^ byte) * _PRIME & 0xFFFFFFFFFFFFFFFF
         out.append((h ^ h >> 32) >> 11 & 255)
     return bytes(out)
 
@@ -88,6 +96,61 @@ class Coder:
         return [b"".join([codes[w] for w in words[i : i + size]]) for i in range(0, len(words), size)]
 
 
+def _letters(text: str | None) -> bytes:
+    """Lower-cased UTF-8 in which all that separates words is ASCII."""
+    if not text:
+        return b""
+    low = text.lower()
+    return (low if low.isascii() else _FOREIGN.sub(" ", low)).encode("utf-8", "replace")
+
+
+def _word_codes(piece: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``beginning_codes`` of all words end to end, where each word starts in the piece, and where its codes end.
+
+    All words take their next letter at once, the longest first, so that those with letters left are in front.
+    """
+    raw = np.frombuffer(piece + b" ", dtype=np.uint8)
+    inside = _WORDY[raw]
+    raw = np.where(inside, raw, np.uint8(32))
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    start, length = edges[0::2], edges[1::2] - edges[0::2]
+    end = np.cumsum(length + 1)
+    begin = end - length - 1
+    codes = np.empty(int(end[-1]) if len(end) else 0, dtype=np.uint8)
+    order = np.argsort(-length, kind="stable")
+    falling = -length[order]
+    alone = int(np.searchsorted(falling, -LONG))
+    for i in order[:alone].tolist():
+        codes[begin[i] : end[i]] = np.frombuffer(beginning_codes(raw[start[i] : start[i] + length[i]].tobytes().decode()), dtype=np.uint8)
+    order, falling = order[alone:], falling[alone:]
+    read, write, h = start[order], begin[order], np.full(len(order), _SEED, dtype=np.uint64)
+    for k in range(1 - int(falling[0]) if len(order) else 0):
+        live = int(np.searchsorted(falling, -k, side="right"))
+        read, write, h = read[:live], write[:live], h[:live]
+        h = (h ^ raw[read + k]) * np.uint64(_PRIME)
+        codes[write + k] = (h ^ h >> np.uint64(32)) >> np.uint64(11) & np.uint64(255)
+    return codes, start, end
+
+
+def coded_windows(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """The windows of all texts end to end, as ``Coder`` writes those of ``words_of``, and how many each text has."""
+    parts = [_letters(t) for t in texts]
+    at = size = 0
+    codes, starts, bounds = [], [], [np.zeros(1, dtype=np.int64)]
+    for piece in _pieces(b" ".join(parts) + b" "):
+        code, start, end = _word_codes(piece)
+        codes.append(code.tobytes())
+        starts.append(start + at)
+        bounds.append(end + size)
+        at, size = at + len(piece), size + len(code)
+    words = np.diff(np.searchsorted(np.concatenate(starts), np.cumsum([len(p) + 1 for p in parts])), prepend=0)
+    counts = -(-words // WINDOW)
+    last = np.repeat(np.cumsum(words), counts)
+    first = last - np.repeat(words, counts) + WINDOW * (np.arange(len(last)) - np.repeat(np.cumsum(counts) - counts, counts))
+    data, bound = b"".join(codes), np.concatenate(bounds)
+    return [data[a:b] for a, b in zip(bound[first].tolist(), bound[np.minimum(first + WINDOW, last)].tolist())], counts
+
+
 def _shape(size: int) -> zstandard.ZstdCompressionParameters:
     log = max(14, size.bit_length() + 1)
     return zstandard.ZstdCompressionParameters(
@@ -122,25 +185,27 @@ class Distance:
     stretch: float = math.inf
 
     def distances(self):
-        """A function from words to how many bytes each of their windows is nearer to toxic text."""
+        """A function from texts to how many bytes each window of each of them is nearer to toxic text."""
         toxic, ordinary = compressor(self.toxic), compressor(self.ordinary)
         known: dict[bytes, int] = {}
-        coded = Coder()
-
-        def of(words: list[str]) -> np.ndarray:
-            windows = coded(words)
-            out = np.empty(len(windows), dtype=np.int64)
-            for i, w in enumerate(windows):
-                d = known.get(w)
-                if d is None:  # copies of a text have the same windows
-                    d = len(ordinary.compress(w)) - len(toxic.compress(w))
-                    if len(known) >= MOST_CACHED:
-                        known.clear()
-                    known[w] = d
-                out[i] = d
-            return out
 
-        return of
+        def of(windows: list[bytes]) -> list[int]:
+            if len(known) > MOST_CACHED:
+                known.clear()
+            new = [w for w in dict.fromkeys(windows) if w not in known]  # copies of a text have the same windows
+            plain = [len(ordinary.compress(w)) for w in new]  # one dictionary at a time costs less than both in turn
+            known.update(zip(new, [n - len(toxic.compress(w)) for n, w in zip(plain, new)]))
+            return [known[w] for w in windows]
+
+        def each(texts: pd.Series) -> Iterator[np.ndarray]:
+            texts = texts.tolist()
+            for lo, hi in slices([len(t or "") for t in texts], SLICE):
+                windows, counts = coded_windows(texts[lo:hi])
+                found = np.array([d for i in range(0, len(windows), BLOCK) for d in of(windows[i : i + BLOCK])], dtype=np.int64)
+                upto = np.cumsum(counts).tolist()
+                yield from (found[a:b] for a, b in zip([0, *upto], upto))
+
+        return each
 
 
 def measure(near: np.ndarray) -> tuple[float, int]:
@@ -374,11 +439,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Distance:
     def figures(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = model.distances()
         for texts in batches:
-            out = []
-            for t in texts:
-                d = of(words_of(t))
-                out.append([dict(zip(("share", "stretch"), measure(d >= m))) for m in MARGINS])
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([[dict(zip(("share", "stretch"), measure(d >= m))) for m in MARGINS] for d in of(texts)], dtype=object)
 
     # Stored before they are taken apart, or the plan would also score texts without a label.
     second = stored(rows.where("NOT first").select("doc_id", "node", "toxic", figures("text").alias("f"))).distinct()
@@ -390,7 +451,7 @@ def scorer(model: Distance) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         of = model.distances() if model.margin else None
         for texts in batches:
-            out = [measure(of(words_of(t)) >= model.margin) if of else (0.0, 0) for t in texts]
+            out = [measure(d >= model.margin) for d in of(texts)] if of else [(0.0, 0)] * len(texts)
             yield pd.DataFrame({"share": pd.Series([s for s, _ in out], dtype="float64"), "stretch": pd.Series([n for _, n in out], dtype="int32")})
 
     return score

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 import time
 
 import numpy as np
@@ -101,6 +102,27 @@ def test_toxicity_codes_follow_beginnings():
     assert toxicity.Coder()(["ab", "c", "d"], 2) == [toxicity.beginning_codes("ab") + toxicity.beginning_codes("c"), toxicity.beginning_codes("d")]
 
 
+def test_toxicity_codes_all_words_of_a_batch_together():
+    rng = random.Random(8)
+    letters = "aZé_ -.\nİßK中文…«１٣\U0001d400\x00\t9\xa0"
+    odd = [None, "", "_", " a", "a_", "…", "x" * 5000, "é" * 70 + " b", "y" * 64, "y" * 65, "z" * 1_100_000 + " é", "a few_wörds… " * 100_000, *("".join(rng.choices(letters, k=rng.randrange(300))) for _ in range(500))]
+    coder = toxicity.Coder()
+    expected = [coder(toxicity.words_of(t)) for t in odd]
+    windows, counts = toxicity.coded_windows(odd)
+    assert windows == [w for ws in expected for w in ws] and counts.tolist() == [len(ws) for ws in expected]
+    words = [f"{i:x}q{i}" for i in range(20000)]
+    calls = 0
+
+    def count(_frame, event, _arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    toxicity.coded_windows([" ".join(words[i : i + 100]) for i in range(0, len(words), 100)])
+    sys.setprofile(None)
+    assert calls < len(words) / 10  # of Python's, not several a word
+
+
 def test_toxicity_edge_cases(spark, labelled):
     docs, labels = labelled
     odd = spark.createDataFrame(
