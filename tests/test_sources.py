@@ -48,6 +48,16 @@ def test_python_extraction_and_resolution(spark):
     assert ("a/m.py", "imports", "os") in e and ("a/m.py", "contains", "a/m.py#Cache") in e
 
 
+def _one_part(spark, n):
+    return spark.range(0, n, 1, 1).selectExpr("concat('p', id, '.py') path", "concat('def f', id, '(x):\\n    return f', id div 2, '(x)\\n') text")
+
+
+def test_files_of_one_part_are_parsed_on_all_cores(spark):
+    for rows in extract.extract(_one_part(spark, 40)):
+        held = rows.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert held > 1 and rows.count() == 80
+
+
 def test_ids_are_minted_in_order():
     rows = extract.extract_file("x.py", "def f(): pass\ndef f(): pass\n")
     assert [r["id"] for r in rows.nodes] == ["x.py", "x.py#f", "x.py#f~2"]
