@@ -1,8 +1,10 @@
 """Sources, extraction, tables, streaming and scalar functions."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lattica import runtime
 from lattica.functions import scalars as S
 from lattica.operators import fuse, reports, text
 from lattica.plans import views
@@ -58,6 +60,30 @@ def test_files_of_one_part_are_parsed_on_all_cores(spark):
         assert held > 1 and rows.count() == 80
 
 
+def test_build_parses_each_file_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(extract, "stored", lambda df: kept.append(df) or runtime.stored(df))
+    nodes, edges = extract.build(_one_part(spark, 6))
+    assert len(kept) == 1 and nodes.count() == 12
+    assert sum(r.relation == "calls" for r in edges.collect()) == 6
+
+
+def test_small_files_share_a_batch(spark):
+    seen = {}
+
+    class Files:  # keeps the function that Spark would be given
+        sparkSession = spark
+        where = select = repartition = lambda self, *a: self
+        mapInArrow = lambda self, f, ddl: seen.setdefault("f", f)
+
+    parse = extract._rows(Files(), ("nodes", extract.NODE), ("edges", extract.EDGE))
+    made = [pa.RecordBatch.from_pydict({"path": [f"p{i}.py"], "text": [f"def f{i}(): pass"]}) for i in range(30)]
+    got = list(parse(iter(made)))
+    assert len(got) == 1 and got[0].num_rows == 90
+    assert sum(v is not None for v in got[0].column("nodes").to_pylist()) == 60
+    assert list(parse(iter([]))) == []
+
+
 def test_ids_are_minted_in_order():
     rows = extract.extract_file("x.py", "def f(): pass\ndef f(): pass\n")
     assert [r["id"] for r in rows.nodes] == ["x.py", "x.py#f", "x.py#f~2"]
