@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.runtime import stored
+
+
+#: Ids up to which a set of them is sent to all executors instead of shuffling what is looked up in it.
+MOST_SENT = 500_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """``ids`` stored once, and marked to be broadcast if they are few enough."""
+    kept = stored(ids.distinct())
+    return F.broadcast(kept) if kept.count() <= MOST_SENT else kept
+
 
 def prefixes(path: Column) -> Column:
     """All ancestors of a path and the path itself, the root (empty) first."""
