@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import scalars as S
@@ -91,12 +91,16 @@ def edit_blast(nodes: DataFrame, edges: DataFrame, cap: int = EDIT_CAP) -> DataF
     """``(path, dependents, list)``: who depends on each file from outside it, ``cap`` lines and how many more."""
     at = nodes.select(F.col("id").alias("target"), "path")
     by = nodes.select(F.col("id").alias("source"), F.col("name").alias("_name"), F.col("path").alias("_from"))
-    incoming = edges.join(at, "target").join(by, "source", "left").where("_from IS NULL OR _from <> path")
+    # By source first, then by target: edges then lie with their target, and only its first lines and its count go on to the file.
+    incoming = edges.select("source", "relation", "target").join(by, "source", "left").join(at, "target").where("_from IS NULL OR _from <> path")
+    order = Window.partitionBy("target", "path").orderBy("source", "relation")
+    rows = incoming.withColumn("_k", F.row_number().over(order)).withColumn("_last", F.lead(F.lit(False), 1, True).over(order)).where(F.col("_last") | (F.col("_k") <= cap))
     label = F.coalesce(F.concat("_name", F.lit(" ("), S.base_name(F.col("_from")), F.lit(")")), "source")
-    rows = incoming.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("source", "relation", "target", F.concat("relation", F.lit(" <- "), label).alias("line")))).alias("r"))
+    line = F.struct("source", "relation", "target", F.concat("relation", F.lit(" <- "), label).alias("line"))
+    of_file = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.when(F.col("_k") <= cap, line))).alias("r"), F.sum(F.when(F.col("_last"), F.col("_k"))).alias("n"))
     shown = F.array_join(F.transform(F.slice("r", 1, cap), lambda x: x["line"]), "\n")
-    more = F.when(F.size("r") > cap, F.concat(F.lit("\n+"), F.size("r") - cap, F.lit(" more"))).otherwise("")
-    return rows.select("path", F.size("r").cast("long").alias("dependents"), F.concat(shown, more).alias("list"))
+    more = F.when(F.col("n") > cap, F.concat(F.lit("\n+"), F.col("n") - cap, F.lit(" more"))).otherwise("")
+    return of_file.select("path", F.col("n").cast("long").alias("dependents"), F.concat(shown, more).alias("list"))
 
 
 def pack_saving(pack_chars: Column, baseline_chars: Column) -> Column:
